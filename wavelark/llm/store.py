@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +43,11 @@ def drop(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:
+    """Semi or anti join of wide rows with a column of ids, which is broadcast if it has at most ``most`` rows.
+
+    Beyond that the join is Spark's to plan; the result is the same.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
