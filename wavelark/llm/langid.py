@@ -137,7 +137,7 @@ def train(docs: DataFrame, sample_docs: int = 150, order: int = 4, min_count: in
     return fit({k: v for k, v in texts.items() if any(x.strip() for x in v)}, order, min_count)
 
 
-def identify(docs: DataFrame, model: Model, max_bits: float = 6.0, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, max_bits: float = 5.0, keep: list[str] | None = None) -> DataFrame:
     """Score whole texts. A text is accepted if its best language codes it in at most ``max_bits`` bits a byte.
 
     ``keep`` names the columns to carry along (default: all that the result doesn't name itself).
@@ -171,6 +171,6 @@ def identify(docs: DataFrame, model: Model, max_bits: float = 6.0, keep: list[st
     return picked.mapInArrow(score, schema)
 
 
-def accept(docs: DataFrame, model: Model, max_bits: float = 6.0) -> DataFrame:
+def accept(docs: DataFrame, model: Model, max_bits: float = 5.0) -> DataFrame:
     """The documents that ``identify`` accepts, in their own columns."""
     return identify(docs, model, max_bits, docs.columns).where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
