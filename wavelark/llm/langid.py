@@ -71,7 +71,7 @@ def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 6) -> Mode
     uniform[0] = max(unseen, 1) / 256
     uniform /= uniform.sum()
     keys, child = [np.zeros(1, np.int64)], [np.full((1, size), -1, np.int32)]
-    nodes, probs, parent = 1, [], np.zeros((1, size, 1)) + uniform[None, :, None]
+    nodes, probs, parent = 1, [], np.broadcast_to(uniform[None, :, None], (1, size, len(langs))).astype(np.float32)
     for k in range(order + 1):
         ctx = [sum((s[at - j].astype(np.int64) * size ** (j - 1) for j in range(1, k + 1)), np.zeros(len(at), np.int64)) for s, at in coded]
         if k:
@@ -86,22 +86,29 @@ def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 6) -> Mode
             child.append(np.full((len(kept), size), -1, np.int32))
             nodes += len(kept)
             parent = probs[-1][up]
-        count = np.zeros((len(keys[-1]), size, len(langs)))
+        count = np.zeros((len(keys[-1]), size, len(langs)), np.float32)
         for j, ((s, at), x) in enumerate(zip(coded, ctx)):
             if len(keys[-1]) == 0:
                 break
             i = np.minimum(np.searchsorted(keys[-1], x), len(keys[-1]) - 1)
             ok = keys[-1][i] == x
             count[:, :, j] = np.bincount(i[ok] * size + s[at][ok], minlength=len(keys[-1]) * size).reshape(-1, size)
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        left = np.where(count > 0, 0, parent)
-        rest = left.sum(1, keepdims=True)
+        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True, dtype=np.float32)
+        p = np.where(count > 0, np.float32(0), parent)
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(count > 0, count / (total + kinds), kinds / (total + kinds) * left / rest)
-        probs.append(np.where(total > 0, p, parent))
-    cost = -np.log2(np.maximum(np.concatenate(probs), 1e-30))
+            p *= kinds / (total + kinds) / p.sum(1, keepdims=True)
+            seen_here = count > 0
+            count /= total + kinds
+        np.copyto(p, count, where=seen_here)
+        np.copyto(p, parent, where=total == 0)
+        probs.append(p)
+        del count, seen_here, p
+    cost = np.concatenate(probs)
+    del probs, parent
+    np.log2(np.maximum(cost, np.float32(1e-30), out=cost), out=cost)
+    np.negative(cost, out=cost)
     cost[:, 0] += np.log2(max(unseen, 1))
-    return Model(langs, order, symbol, np.concatenate(child).reshape(-1), cost.reshape(-1, len(langs)).astype(np.float32), size)
+    return Model(langs, order, symbol, np.concatenate(child).reshape(-1), cost.reshape(nodes * size, len(langs)), size)
 
 
 def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
