@@ -71,6 +71,9 @@ def test_line_dedup(spark):
     # whole copies keep their lines: the near-duplicate join decides on them
     body = "\n".join(prose(rng, 12) for _ in range(6))
     assert all(r.n_dropped == 0 for r in linededup.dedup_lines(docs(spark, [body] * 20)).collect())
+    # rows of numbers have no fixed words in common
+    numbers = [prose(rng, 30) + "\n" + " ".join(str(rng.randrange(1000)) for _ in range(6)) + "\n" + prose(rng, 30) for _ in range(12)]
+    assert all(r.n_dropped == 0 for r in linededup.dedup_lines(docs(spark, numbers)).collect())
     # the joined way gives the same as the broadcast one
     d = docs(spark, texts)
     hot = linededup.recurring_lines(d)
@@ -306,7 +309,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(11)
-    vocab = ["word%d" % k for k in range(500)]
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for k in range(500)]
     texts = ["\n".join(" ".join(rng.choice(vocab) for _ in range(15)) for _ in range(5)) for _ in range(30)]
     item = " ".join(rng.choice(vocab) for _ in range(30))
     texts[4] += "\n" + item

@@ -19,6 +19,9 @@ Everything needed for that moves in one shuffle by leaf; tokens travel as
 16-bit fingerprints. Occurrences are combined before the shuffle, so a line
 in most documents doesn't make a skewed partition.
 
+A template with fewer than half of its tokens fixed says nothing of what the
+lines have in common (rows of numbers, say), and is none.
+
 Defined cases: a null text stays null, an empty one empty; a line of fewer
 than ``min_tokens`` tokens (blank ones among them) is never dropped; a line
 repeated within one document counts once; equal similarity goes to the
@@ -40,6 +43,7 @@ from . import text as tx
 
 KEPT = 64
 LEAD = 3
+FIXED = 0.5
 _WILD = np.uint64(0x5BD1E995)
 _END = 2**64
 LINES = "leaf long, line long, tokens binary, n_docs long, sketches array<long>"
@@ -147,8 +151,8 @@ def _distinct(sketches: np.ndarray) -> float:
     return (KEPT - 1) * _END / (float(h[KEPT - 1]) + 1)
 
 
-def templates(tokens: np.ndarray, similarity: float) -> np.ndarray:
-    """The template of each line (rows of equal length, 0 = variable), in the order in which they come."""
+def templates(tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The template of each line (rows of equal length, 0 = variable), in the order in which they come, and all templates."""
     made = np.zeros((4, tokens.shape[1]), np.uint16)
     n, out = 0, np.zeros(len(tokens), np.int64)
     for k, t in enumerate(tokens):
@@ -165,7 +169,7 @@ def templates(tokens: np.ndarray, similarity: float) -> np.ndarray:
         else:
             made[best][made[best] != t] = 0
         out[k] = best
-    return out
+    return out, made[:n]
 
 
 def _leaf(line, tokens, n_docs, begin, sketch, min_docs, min_share, similarity) -> np.ndarray:
@@ -174,9 +178,12 @@ def _leaf(line, tokens, n_docs, begin, sketch, min_docs, min_share, similarity)
     docs = np.bincount(inv, n_docs).astype(np.int64)
     rank = np.lexsort((u, -docs))
     t = np.zeros(len(u), np.int64)
-    t[rank] = templates(np.stack([np.frombuffer(tokens[i[k]], np.uint16) for k in rank]), similarity) if len(u) > 1 else 0
+    t[rank], made = templates(np.stack([np.frombuffer(tokens[i[k]], np.uint16) for k in rank]), similarity)
+    fixed = (made != 0).mean(1) >= FIXED
     mine, got = t[inv], []
     for k in np.unique(t[docs > 0]):
+        if not fixed[k]:
+            continue
         total = int(docs[t == k].sum())
         if total < min_docs:
             continue
