@@ -107,9 +107,9 @@ def test_jaccard(spark):
         texts.append(" ".join(w))
         texts.append(texts[k].upper())
     want = brute_jaccard(texts, 0.6)
-    got = {r.doc_id: r.group_id for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    got = {r.doc_id: r.group_id for r in jaccard.near_duplicates(docs(spark, texts), 0.6).collect()}
     assert [got.get(k, k) for k in range(len(texts))] == want
-    kept = {r.doc_id for r in jaccard.drop_duplicates(docs(spark, texts)).collect()}
+    kept = {r.doc_id for r in jaccard.drop_duplicates(docs(spark, texts), 0.6).collect()}
     assert kept == {k for k, r in enumerate(want) if k == r}
     b, r = jaccard.bands_for(0.6, 0.97)
     assert 1 - (1 - 0.6**r) ** b >= 0.97 and b * r <= 128

@@ -147,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.6, recall: float = 0.97, n: int = 3, hashes: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.95, n: int = 3, hashes: int = 192) -> DataFrame:
     """Rows (doc_id, group_id, partner_id, jaccard) for every document with a partner.
 
     ``group_id`` is the lowest doc_id of the group, ``partner_id`` the document's most similar verified partner.
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.6, recall: float = 0.9
     return near.unionByName(copies).unionByName(back)
 
 
-def drop_duplicates(docs: DataFrame, threshold: float = 0.6, recall: float = 0.97, n: int = 3, hashes: int = 128) -> DataFrame:
+def drop_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.95, n: int = 3, hashes: int = 192) -> DataFrame:
     """``docs`` with one document of each group, that of the lowest doc_id."""
     found = near_duplicates(docs, threshold, recall, n, hashes)
     gone = store.save(found.where("doc_id <> group_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "duplicates")

@@ -157,8 +157,11 @@ def _first(vec: np.ndarray, other: np.ndarray, d2: np.ndarray, k: int) -> np.nda
     return order[np.arange(len(v)) - np.searchsorted(v, v) < k]
 
 
-def neighbours(vectors: DataFrame, k: int = 10, block_rows: int = 8192) -> DataFrame:
-    """Rows (vec_id, rank, neighbor_id, distance) with every vector's k nearest others by Euclidean distance."""
+def neighbours(vectors: DataFrame, k: int = 10, block_rows: int = 8192, broadcast_mb: int = 64) -> DataFrame:
+    """Rows (vec_id, rank, neighbor_id, distance) with every vector's k nearest others by Euclidean distance.
+
+    If all vectors together have at most ``broadcast_mb``, blocks are broadcast to their pairs; else they are shuffled to them.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
@@ -225,10 +228,11 @@ def neighbours(vectors: DataFrame, k: int = 10, block_rows: int = 8192) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("q_block"), b.column("x_block")], names=["q", "x"]).filter(ok)
 
     todo = store.save(pairs.mapInArrow(needed, "q int, x int"), "pairs")
+    small = total * (dim * 4 + 20) <= broadcast_mb << 20
     n_tasks = max(1, min(todo.count(), 20 * (at + 1)))
-    work = todo.repartition(n_tasks).join(F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])) if at < 16 else queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]), F.col("q") == F.col("q_block"))
+    work = todo.repartition(n_tasks).join(F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])) if small else queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]), F.col("q") == F.col("q_block"))
     right = blocks.select(*[F.col(c).alias(f"x_{c}") for c in blocks.columns])
-    work = work.join(F.broadcast(right) if at < 16 else right, F.col("x") == F.col("x_block"))
+    work = work.join(F.broadcast(right) if small else right, F.col("x") == F.col("x_block"))
 
     def across(batches):
         for b in batches:
