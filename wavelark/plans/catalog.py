@@ -182,7 +182,9 @@ SELECT c.* FROM c JOIN k USING (ngram)"""
 
 @query(NGRAM_SQL)
 def ngram_daily(t):
-    grams = t.conversations.select((F.col("conv_id") % 10).cast("int").alias("day"), F.explode(S.ngrams(S.tokens_space(F.col("text")), 2)).alias("ngram"))
+    # tokens are a column of their own, as every n-gram refers to them
+    toks = t.conversations.select((F.col("conv_id") % 10).cast("int").alias("day"), S.tokens_space(F.col("text")).alias("toks"))
+    grams = toks.select("day", F.explode(S.ngrams(F.col("toks"), 2)).alias("ngram"))
     c = grams.groupBy("ngram", "day").agg(F.count("*").alias("n"))
     return c.withColumn("total", F.sum("n").over(Window.partitionBy("ngram"))).where("total >= 10").drop("total")
 
