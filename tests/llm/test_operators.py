@@ -83,6 +83,30 @@ def test_line_dedup(spark):
     assert len(got) == 8 and [r.text for r in got if r.doc_id == 0] == [None] and linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_distinct_documents(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    line = "Subscribe to our weekly newsletter today"
+    # many copies of one document don't hide a line of unrelated ones
+    texts = [prose(rng, 60, words) + "\n" + line for _ in range(10)]
+    copied = docs(spark, texts + texts[:1] * 30)
+    assert all(r.n_dropped == 1 and line not in r.text for r in linededup.dedup_lines(copied).collect())
+    # nor do several lines of one template in a document
+    authors = [prose(rng, 60, words) + "".join(f"\nThis article was written by {rng.choice(words)}" for _ in range(3)) for _ in range(12)]
+    assert all(r.n_dropped == 3 for r in linededup.dedup_lines(docs(spark, authors)).collect())
+    # what other lines recur beside it says nothing
+    menu = [prose(rng, 9, words) for _ in range(6)]
+    mixed = docs(spark, ["\n".join([*menu, prose(rng, 60, words)]) for _ in range(12)])
+    assert all(r.n_dropped == 6 for r in linededup.dedup_lines(mixed).collect())
+    # near copies, a tenth of whose words differ, keep their lines
+    body = [[rng.choice(words) for _ in range(12)] for _ in range(10)]
+    near = ["\n".join(" ".join(rng.choice(words) if rng.random() < 0.1 else w for w in b) for b in body) for _ in range(60)]
+    assert all(r.n_dropped == 0 for r in linededup.dedup_lines(docs(spark, near)).collect())
+    # joined and broadcast candidates give the same
+    a, b = (sorted(r.line for r in linededup.recurring_lines(copied, broadcast_lines=n).collect()) for n in (1000, 0))
+    assert a == b and len(a) == 1
+
+
 def brute_jaccard(texts, threshold, n=3):
     def grams(t):
         w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())

@@ -8,16 +8,26 @@ differing places become variable, or else founds a new one. A template that
 recurs in many documents is boilerplate and its lines are dropped.
 
 Copies of one document also repeat its lines, but they are no boilerplate:
-which copy stays is for the near-duplicate join to say. They are told apart
-by what surrounds the line. Each occurrence carries a min-hash sketch of
-the trigrams of the *other* lines of its document, and a template recurs if
-it has at least ``min_docs`` distinct sketches, and at least ``min_share``
-distinct sketches a document. Sketches are counted exactly below ``KEPT`` of
-them and beyond from the KEPT lowest hashes (k-minimum values).
-
-Everything needed for that moves in one shuffle by leaf; tokens travel as
-16-bit fingerprints. Occurrences are combined before the shuffle, so a line
-in most documents doesn't make a skewed partition.
+which copy stays is for the near-duplicate join to say. So what is counted
+are distinct documents, copies and near copies of one another being one:
+
+1. templates with at least ``min_docs`` occurrences in documents, copies
+   included, are candidates;
+2. each document that holds a candidate is signed twice, by the lowest
+   trigram hash in each of BINS ranges: of all its text, and of that outside
+   all candidates' lines. If the latter is at most ``OUTSIDE`` of its tokens
+   (a whole copy has none), all its text stands for it: documents with more
+   than that apart can't reach a similarity of 0.5, those with less may well
+   be near copies;
+3. two documents are copies if the text outside of either agrees with all
+   the other's in COPY of the ranges that either has, and a template recurs
+   if ``min_docs`` of its documents are no copies of one another.
+
+Every batch passes on up to ``min_docs`` such documents of each template, so
+a line in most documents doesn't make a skewed partition. Where similarity
+isn't transitive (A like B, B like C, A not like C) which documents are met
+first can decide; such groups are near the limit COPY. Documents with more
+than 1 - OUTSIDE of their tokens in common lines count as copies.
 
 A template with fewer than half of its tokens fixed says nothing of what the
 lines have in common (rows of numbers, say), and is none.
@@ -41,12 +51,13 @@ from pyspark.sql import types as T
 from . import store
 from . import text as tx
 
-KEPT = 64
+BINS = 64
+COPY = 1 / 10
+OUTSIDE = 1 / 3
 LEAD = 3
 FIXED = 0.5
 _WILD = np.uint64(0x5BD1E995)
-_END = 2**64
-LINES = "leaf long, line long, tokens binary, n_docs long, sketches array<long>"
+LINES = "leaf long, line long, tokens binary, n_docs long"
 
 
 class Lines:
@@ -78,39 +89,41 @@ class Lines:
         self.leaf = tx.mix(total[self.first + np.minimum(self.count, LEAD)] - total[self.first] + size * np.uint64(0xFF51AFD7ED558CCD))
         self.hash, self.of = h, of
 
-    def sketches(self, n_rows: int) -> np.ndarray:
-        """For every line, the lowest trigram hash among the other lines of its row; 0 if there is none."""
-        low = np.full(len(self.start), np.iinfo(np.uint64).max, np.uint64)
+    def signatures(self, n_rows: int, hot: np.ndarray) -> np.ndarray:
+        """For every row with a line in ``hot``, 8 bits of the lowest trigram hash in each range, 0 if there is none: of all its text and of that outside ``hot``."""
+        total = np.bincount(self.row, self.count, n_rows)
+        part = total - np.bincount(self.row[hot], self.count[hot], n_rows)
         g, at = tx.grams(self.hash, self.of, 3)
-        np.minimum.at(low, self.of[at], g)
-        order = np.lexsort((low, self.row))
-        first = np.searchsorted(self.row[order], np.arange(n_rows))
-        best = np.full((n_rows, 2), np.iinfo(np.uint64).max, np.uint64)
-        lines = np.bincount(self.row, minlength=n_rows)
-        own = np.zeros(len(low), bool)
-        some, two = lines > 0, lines > 1
-        best[some, 0] = low[order[first[some]]]
-        best[two, 1] = low[order[first[two] + 1]]
-        own[order[first[some]]] = True
-        out = np.where(own, best[self.row, 1], best[self.row, 0])
-        return np.where(out == np.iinfo(np.uint64).max, np.uint64(0), out)
+        line = self.of[at]
+        row = self.row[line]
+        far = (part > OUTSIDE * total) & (np.bincount(row[~hot[line]], minlength=n_rows) > 0)
+        some = (np.bincount(self.row[hot], minlength=n_rows) > 0)[row]
+        none = np.iinfo(np.uint64).max
+
+        def lowest(use: np.ndarray) -> np.ndarray:
+            low = np.full(n_rows * BINS, none, np.uint64)
+            np.minimum.at(low, row[use] * BINS + (g[use] >> np.uint64(58)).astype(np.int64), g[use])
+            out = np.maximum(low & np.uint64(0xFF), 1).astype(np.uint8)
+            out[low == none] = 0
+            return out.reshape(n_rows, BINS)
+
+        return np.concatenate([lowest(some), lowest(some & ~(hot[line] & far[row]))], axis=1)
 
 
 def _occurrences(batches, min_tokens: int):
     """Rows of LINES, combined over each batch."""
-    kind = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary()), ("n_docs", pa.int64()), ("sketches", pa.list_(pa.int64()))])
+    kind = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary()), ("n_docs", pa.int64())])
     for b in batches:
         held = []
         for part in tx.slices(iter([b]), "text"):
             data, offs = tx.flat(part.column("text"))
             x = Lines(data, offs)
             ok = np.flatnonzero(x.count >= min_tokens)
-            sk = x.sketches(len(offs) - 1)
             _, i = np.unique(np.stack([x.row[ok].astype(np.uint64), x.line[ok]]), axis=1, return_index=True) if len(ok) else (None, np.zeros(0, np.int64))
             ok = ok[np.sort(i)]
             u, i, inv = np.unique(x.line[ok], return_index=True, return_inverse=True)
             raw = tx.ragged(x.print, x.first[ok[i]], x.first[ok[i]] + x.count[ok[i]])
-            held.append((x.leaf[ok[i]], u, x.count[ok[i]], raw, inv, sk[ok]))
+            held.append((x.leaf[ok[i]], u, x.count[ok[i]], raw, inv))
         if not held:
             continue
         size = np.cumsum([0] + [len(h[1]) for h in held])
@@ -118,19 +131,11 @@ def _occurrences(batches, min_tokens: int):
         raw = np.concatenate([h[3] for h in held])
         begin = np.cumsum(count) - count
         occ = np.concatenate([h[4] + s for h, s in zip(held, size)]).astype(np.int64)
-        sketch = np.concatenate([h[5] for h in held])
         u, i, inv = np.unique(line, return_index=True, return_inverse=True)
         if len(u) == 0:
             continue
         occ = inv[occ]
         n_docs = np.bincount(occ, minlength=len(u))
-        order = np.lexsort((tx.mix(sketch), occ))
-        occ, sketch = occ[order], sketch[order]
-        new = np.ones(len(occ), bool)
-        new[1:] = (occ[1:] != occ[:-1]) | (sketch[1:] != sketch[:-1])
-        occ, sketch = occ[new], sketch[new]
-        rank = np.arange(len(occ)) - np.searchsorted(occ, occ)
-        occ, sketch = occ[rank < KEPT], sketch[rank < KEPT]
         tokens = tx.ragged(raw, begin[i], begin[i] + count[i])
         at = np.concatenate([[0], np.cumsum(count[i]) * 2]).astype(np.int64)
         step = 20000
@@ -138,17 +143,21 @@ def _occurrences(batches, min_tokens: int):
             hi = min(lo + step, len(u))
             o = at[lo : hi + 1]
             binary = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((o - o[0]).astype(np.int32)), pa.py_buffer(tokens[o[0] // 2 : o[-1] // 2].tobytes())])
-            lists = tx.bounds(occ, len(u))[lo : hi + 1]
-            arrays = pa.ListArray.from_arrays(pa.array((lists - lists[0]).astype(np.int32)), pa.array(sketch[lists[0] : lists[-1]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf[i][lo:hi].view(np.int64)), pa.array(u[lo:hi].view(np.int64)), binary, pa.array(n_docs[lo:hi]), arrays], schema=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[i][lo:hi].view(np.int64)), pa.array(u[lo:hi].view(np.int64)), binary, pa.array(n_docs[lo:hi])], schema=kind)
 
 
-def _distinct(sketches: np.ndarray) -> float:
-    """Number of distinct sketches: exact below KEPT, else estimated from the KEPT lowest hashes."""
-    h = np.unique(tx.mix(np.unique(sketches)))
-    if len(h) < KEPT:
-        return float(len(h))
-    return (KEPT - 1) * _END / (float(h[KEPT - 1]) + 1)
+def _alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return ((q == p) & (p > 0)).sum(1) >= COPY * ((q > 0) | (p > 0)).sum(1)
+
+
+def _apart(signs: np.ndarray, most: int) -> list[int]:
+    """Up to ``most`` rows of ``signs`` no two of which are copies."""
+    left, kept = np.arange(len(signs)), []
+    while len(left) and len(kept) < most:
+        p, q = signs[left[0]], signs[left]
+        kept.append(int(left[0]))
+        left = left[~(_alike(p[BINS:], q[:, :BINS]) | _alike(p[:BINS], q[:, BINS:]))]
+    return kept
 
 
 def templates(tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -172,30 +181,21 @@ def templates(tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.nda
     return out, made[:n]
 
 
-def _leaf(line, tokens, n_docs, begin, sketch, min_docs, min_share, similarity) -> np.ndarray:
-    """Hashes of the lines of one leaf whose template recurs."""
+def _leaf(line, tokens, n_docs, min_docs, similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines of one leaf whose template is a candidate, and the template's: the lowest of its lines."""
     u, i, inv = np.unique(line, return_index=True, return_inverse=True)
     docs = np.bincount(inv, n_docs).astype(np.int64)
     rank = np.lexsort((u, -docs))
     t = np.zeros(len(u), np.int64)
     t[rank], made = templates(np.stack([np.frombuffer(tokens[i[k]], np.uint16) for k in rank]), similarity)
-    fixed = (made != 0).mean(1) >= FIXED
-    mine, got = t[inv], []
-    for k in np.unique(t[docs > 0]):
-        if not fixed[k]:
-            continue
-        total = int(docs[t == k].sum())
-        if total < min_docs:
-            continue
-        sk = np.concatenate([sketch[begin[j] : begin[j + 1]] for j in np.flatnonzero(mine == k)])
-        kinds = _distinct(sk)
-        if kinds >= min_docs and kinds >= min_share * total:
-            got.append(u[t == k])
-    return np.concatenate(got) if got else np.zeros(0, np.uint64)
+    ok = ((made != 0).mean(1) >= FIXED) & (np.bincount(t, docs, len(made)) >= min_docs)
+    first = np.full(len(made), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(first, t, u)
+    return u[ok[t]], first[t[ok[t]]]
 
 
-def _recurring(batches, min_docs: int, min_share: float, similarity: float):
-    """Hashes of recurring lines from rows of LINES sorted by leaf; a leaf may span batches."""
+def _candidates(batches, min_docs: int, similarity: float):
+    """Hashes of candidates' lines and templates from rows of LINES sorted by leaf; a leaf may span batches."""
 
     def done(t: pa.Table):
         t = t.combine_chunks()
@@ -210,12 +210,9 @@ def _recurring(batches, min_docs: int, min_share: float, similarity: float):
             if n_docs[lo:hi].sum() < min_docs:
                 continue
             p = t.slice(lo, hi - lo)
-            lists = p.column("sketches").combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            got = _leaf(line[lo:hi], p.column("tokens").to_pylist(), n_docs[lo:hi], begin, lists.flatten().to_numpy().view(np.uint64), min_docs, min_share, similarity)
+            got, of = _leaf(line[lo:hi], p.column("tokens").to_pylist(), n_docs[lo:hi], min_docs, similarity)
             if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], names=["line"])
+                yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(of.view(np.int64))], names=["line", "template"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -235,11 +232,87 @@ def _recurring(batches, min_docs: int, min_share: float, similarity: float):
         yield from done(pa.Table.from_batches(held))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, min_share: float = 0.5, similarity: float = 0.7, min_tokens: int = 3) -> DataFrame:
-    """Hashes (column ``line``) of the lines whose template recurs across the documents."""
-    rows = docs.select("text").mapInArrow(lambda b: _occurrences(b, min_tokens), LINES)
+def _signed(batches, line: np.ndarray, template: np.ndarray, min_docs: int):
+    """Rows (template, sign): up to ``min_docs`` documents of a batch for each template in them, no two of them copies. ``line`` is sorted."""
+    for b in batches:
+        of, signs = [np.zeros(0, np.int64)], [np.zeros((0, 2 * BINS), np.uint8)]
+        for part in tx.slices(iter([b]), "text"):
+            data, offs = tx.flat(part.column("text"))
+            x = Lines(data, offs)
+            if len(x.line) == 0 or len(line) == 0:
+                continue
+            at = np.minimum(np.searchsorted(line, x.line), len(line) - 1)
+            hot = line[at] == x.line
+            pair = np.unique(np.stack([template[at[hot]], x.row[hot]]), axis=1)
+            of.append(pair[0])
+            signs.append(x.signatures(len(offs) - 1, hot)[pair[1]])
+        of, sign = np.concatenate(of), np.concatenate(signs)
+        # equal signatures are one
+        key = tx.mix((sign * tx._power(2 * BINS)[: 2 * BINS]).sum(1, dtype=np.uint64))
+        order = np.lexsort((key, of))
+        of, key, sign = of[order], key[order], sign[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+        of, sign = of[new], sign[new]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        stop = np.append(first[1:], len(of))
+        keep = np.zeros(len(of), bool)
+        keep[first] = True
+        for lo, hi in zip(first[stop - first > 1], stop[stop - first > 1]):
+            keep[lo + np.array(_apart(sign[lo:hi], min_docs))] = True
+        of, sign = of[keep], np.ascontiguousarray(sign[keep])
+        binary = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.arange(0, (len(of) + 1) * 2 * BINS, 2 * BINS, dtype=np.int32)), pa.py_buffer(sign.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(of), binary], names=["template", "sign"])
+
+
+def _counted(batches, min_docs: int):
+    """Templates with ``min_docs`` documents that are no copies of one another."""
+    for b in batches:
+        got = []
+        for t, signs in zip(b.column("template").to_pylist(), b.column("signs").to_pylist()):
+            if len(signs) >= min_docs and len(_apart(np.frombuffer(b"".join(sorted(signs)), np.uint8).reshape(-1, 2 * BINS), min_docs)) >= min_docs:
+                got.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["template"])
+
+
+def _found(batches):
+    """Rows (_key, line) of all lines."""
+    for b in tx.slices(batches, "text"):
+        data, offs = tx.flat(b.column("text"))
+        x = Lines(data, offs)
+        yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(x.row)), pa.array(x.line.view(np.int64))], names=["_key", "line"])
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7, min_tokens: int = 3, broadcast_lines: int = 2_000_000) -> DataFrame:
+    """Hashes (column ``line``) of the lines whose template recurs across the documents.
+
+    Up to ``broadcast_lines`` candidates' lines (32 MB) are broadcast; more are joined with the documents' lines.
+    """
+    docs = docs.select("text")
+    rows = docs.mapInArrow(lambda b: _occurrences(b, min_tokens), LINES)
     rows = rows.repartition("leaf").sortWithinPartitions("leaf")
-    return rows.mapInArrow(lambda b: _recurring(b, min_docs, min_share, similarity), "line long")
+    lines = store.save(rows.mapInArrow(lambda b: _candidates(b, min_docs, similarity), "line long, template long"), "candidate-lines")
+    if lines.count() <= broadcast_lines:
+        t = lines.toArrow()
+        line, of = t.column("line").to_numpy().view(np.uint64), t.column("template").to_numpy()
+        order = np.argsort(line)
+        held = docs.sparkSession.sparkContext.broadcast((line[order], of[order]))
+        signed = docs.mapInArrow(lambda b: _signed(b, *held.value, min_docs), "template long, sign binary")
+    else:
+        # a key by content, as in drop_lines
+        keyed = docs.withColumn("_key", F.xxhash64("text"))
+        found = keyed.mapInArrow(_found, "_key long, line long").distinct().join(lines, "line")
+        found = found.groupBy("_key").agg(F.collect_list("line").alias("_line"), F.collect_list("template").alias("_template"))
+
+        def sign(batches):
+            for b in batches:
+                line, of = (b.column(c).flatten().to_numpy() for c in ("_line", "_template"))
+                line, i = np.unique(line.view(np.uint64), return_index=True)
+                yield from _signed(iter([b.select(["text"])]), line, of[i], min_docs)
+
+        signed = keyed.join(found, "_key").select("text", "_line", "_template").mapInArrow(sign, "template long, sign binary")
+    signs = signed.groupBy("template").agg(F.collect_list("sign").alias("signs"))
+    return lines.join(signs.mapInArrow(lambda b: _counted(b, min_docs), "template long"), "template").select("line")
 
 
 def _strip(batches, names: list[str], hot: np.ndarray):
@@ -282,16 +355,9 @@ def drop_lines(docs: DataFrame, recurring: DataFrame, broadcast_lines: int = 2_0
         held = docs.sparkSession.sparkContext.broadcast(np.unique(hot))
         return docs.mapInArrow(lambda b: _strip(b, names, held.value), T.StructType(docs.schema.fields + extra))
 
-    def lines(batches):
-        for b in tx.slices(batches, "text"):
-            data, offs = tx.flat(b.column("text"))
-            x = Lines(data, offs)
-            ids = b.column("_key").take(pa.array(x.row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(x.line.view(np.int64))], names=["_key", "line"])
-
     # a key by content: equal rows lose equal lines
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = keyed.select("_key", "text").mapInArrow(lines, "_key long, line long").distinct()
+    found = keyed.select("_key", "text").mapInArrow(_found, "_key long, line long").distinct()
     found = found.join(recurring.distinct(), "line").groupBy("_key").agg(F.collect_list("line").alias("_hot"))
     both = keyed.join(found, "_key", "left").select(*[F.col(f"`{c}`") for c in names], "_hot")
 
@@ -303,9 +369,9 @@ def drop_lines(docs: DataFrame, recurring: DataFrame, broadcast_lines: int = 2_0
     return both.mapInArrow(strip, T.StructType(docs.schema.fields + extra))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, min_share: float = 0.5, similarity: float = 0.7, min_tokens: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7, min_tokens: int = 3) -> DataFrame:
     """All documents, each without its recurring lines; ``n_chars``, if there is one, follows the text."""
-    hot = store.save(recurring_lines(docs, min_docs, min_share, similarity, min_tokens), "recurring")
+    hot = store.save(recurring_lines(docs, min_docs, similarity, min_tokens), "recurring")
     out = drop_lines(docs, hot)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
