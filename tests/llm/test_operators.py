@@ -307,6 +307,21 @@ def test_language_model(spark):
     assert lm.log_likelihood(empty(spark), *lm.fit(empty(spark))).count() == 0
 
 
+def test_language_model_trains_on_all(spark):
+    rng = random.Random(13)
+    head = prose(rng, 100)
+    texts = [head + " " + prose(rng, 20) for _ in range(16)]
+    # documents with equal heads aren't in or out together, and every one is in one round
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    v = lm.vocabulary(docs(spark, texts), 32, 4)
+    n = [len(lm._ids(batch, v, lo, hi)[0]) for lo, hi in ((0, 1 << 31), (1 << 31, 1 << 32), (0, 1 << 32))]
+    assert n[0] > 0 and n[1] > 0 and n[0] + n[1] == n[2]
+    # a few documents do train the model, even one alone
+    for some in (texts, texts[:1]):
+        m, _ = lm.fit(docs(spark, some), width=8, size=32, classes=4)
+        assert np.abs(m["C"]).max() > 0 and np.abs(m["O"]).max() > 0
+
+
 def test_gradient():
     """Back-propagation agrees with finite differences within one window."""
     v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.array([0, 2, 5]), np.array([0, 0, 1, 1, 1]), np.ones(5))

@@ -7,10 +7,11 @@ within it. Everything is numpy.
 * The vocabulary, the frequency classes and the output biases come from word
   counts over all documents.
 * Training is data-parallel truncated back-propagation: in each of ``rounds``
-  every task starts from the current model and trains on its own documents
-  (the share ``share`` of them for that round, picked by a hash of the text,
-  so what is trained on grows with the input); the models are then averaged,
-  weighted by words, block by block in a shuffle.
+  every task starts from the current model and trains on its own documents of
+  that round, picked by a hash of the whole text (equal texts are in the same
+  round); by default each document is in one round, so all of them train.
+  The models are then averaged, weighted by words, block by block in a
+  shuffle.
 * Scoring carries the recurrent state from window to window to a document's
   end, so a log-likelihood belongs to the complete text. In a batch all
   documents advance together, longest first, so work follows the words.
@@ -148,25 +149,32 @@ def _softmax(m: dict, v: Vocabulary, hs: np.ndarray, y: np.ndarray, grad: dict |
         dh = e @ m["C"].T
     order = np.argsort(cls, kind="stable")
     cut = np.searchsorted(cls[order], np.arange(len(v.bound)))
+    hs, y = hs[order], y[order]
+    pick, total = np.zeros(len(y), hs.dtype), np.ones(len(y), hs.dtype)
+    back = np.zeros_like(hs) if grad is not None else None
     for k in range(len(v.bound) - 1):
-        at = order[cut[k] : cut[k + 1]]
+        a, b = cut[k], cut[k + 1]
         lo, hi = v.bound[k], v.bound[k + 1]
-        if len(at) == 0 or hi - lo == 1:
+        if a == b or hi - lo == 1:
             continue
-        h = hs[at]
-        logit = h @ m["O"][lo:hi].T + m["o"][lo:hi]
+        h, w = hs[a:b], m["O"][lo:hi]
+        e = h @ w.T
+        e += m["o"][lo:hi]
         if not tame:
-            logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e @ np.ones(e.shape[1], _F)
-        i, t = np.arange(len(at)), y[at] - lo
-        out[at] += logit[i, t] - np.log(total)
+            e -= e.max(1, keepdims=True)
+        i, t = rows[: b - a], y[a:b] - lo
+        pick[a:b] = e[i, t]
+        np.exp(e, out=e)
+        sums = total[a:b] = e @ np.ones(hi - lo, e.dtype)
         if grad is not None:
-            e /= total[:, None]
+            e /= sums[:, None]
             e[i, t] -= 1
             grad["O"][lo:hi] = e.T @ h
             grad["o"][lo:hi] = e.sum(0)
-            dh[at] += e @ m["O"][lo:hi]
+            back[a:b] = e @ w
+    out[order] += pick - np.log(total)
+    if grad is not None:
+        dh[order] += back
     return out, dh
 
 
@@ -225,43 +233,44 @@ def train(m: dict, memory: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarra
             live, x, y, ok = _window(ids, first, size, t, window)
             h = h[:live]
             kept = []
+            px = m["E"][x] @ m["W"] + m["b"]
             for j in range(len(x)):
-                px = m["E"][x[j]] @ m["W"] + m["b"]
-                new, *rest = _cell(px, h, m["U"])
+                new, *rest = _cell(px[j], h, m["U"])
                 kept.append((h, *rest))
                 h = new
             hs = np.stack([*[c[0] for c in kept[1:]], h])
             grad = {"O": np.zeros_like(m["O"]), "o": np.zeros_like(m["o"])}
             flat = np.zeros((*x.shape, k), _F)
-            _, dh = _softmax(m, v, hs[ok], y[ok], grad)
+            _, dh = _softmax(m, v, hs[ok], y[ok], grad, _tame(m))
             flat[ok] = dh
             n = int(ok.sum())
             seen += n
-            dU, dpx, back = np.zeros_like(m["U"]), np.zeros((*x.shape, 3 * k), _F), np.zeros((live, k), _F)
+            dpx, back = np.zeros((*x.shape, 3 * k), _F), np.zeros((live, k), _F)
+            du = np.zeros_like(dpx)
             for j in range(len(x) - 1, -1, -1):
                 prev, r, z, c, un = kept[j]
                 d = flat[j] + back
                 dc = d * (1 - z) * (1 - c * c)
                 dz = d * (prev - c) * z * (1 - z)
                 dr = dc * un * r * (1 - r)
-                dpx[j] = np.concatenate([dr, dz, dc], 1)
-                du = np.concatenate([dr, dz, dc * r], 1)
-                dU += prev.T @ du
-                back = d * z + du @ m["U"].T
+                dpx[j, :, :k], dpx[j, :, k : 2 * k], dpx[j, :, 2 * k :] = dr, dz, dc
+                du[j] = dpx[j]
+                du[j, :, 2 * k :] *= r
+                back = d * z + du[j] @ m["U"].T
+            dU = np.concatenate([c[0] for c in kept]).T @ du.reshape(-1, 3 * k)
             d, at = dpx[ok], x[ok]
             scale = 1 / max(live, 1)
             dE = np.zeros_like(m["E"])
             np.add.at(dE, at, d @ m["W"].T)
-            used, hit = np.unique(at), np.unique(y[ok])
-            hit = np.flatnonzero(np.isin(v.cls, v.cls[hit]))
+            used = np.unique(at)
             step("W", np.clip(m["E"][at].T @ d * scale, -1, 1))
             step("U", np.clip(dU * scale, -1, 1))
             step("b", np.clip(d.sum(0) * scale, -1, 1))
             step("C", grad["C"] * scale)
             step("c", grad["c"] * scale)
             step("E", dE[used] * scale, used)
-            step("O", grad["O"][hit] * scale, hit)
-            step("o", grad["o"][hit] * scale, hit)
+            step("O", grad["O"] * scale)
+            step("o", grad["o"] * scale)
     return seen
 
 
@@ -270,10 +279,10 @@ def _ids(batch, v: Vocabulary, low: int = 0, high: int = 1 << 32) -> tuple[np.nd
     ids, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for part in tx.slices(iter([batch]), "text"):
         data, offs = tx.flat(part.column("text"))
-        if high < 1 << 32:
+        if low > 0 or high < 1 << 32:
             full = np.flatnonzero(np.diff(offs) > 0)
-            lead = tx.hashes(data, offs[full], offs[full] + np.minimum(np.diff(offs)[full], 256)) >> np.uint64(32)
-            part = part.take(pa.array(full[(lead >= low) & (lead < high)]))
+            top = tx.hashes(data, offs[full], offs[full + 1]) >> np.uint64(32)
+            part = part.take(pa.array(full[(top >= low) & (top < high)]))
             data, offs = tx.flat(part.column("text"))
         buf = tx.fold(data)
         s, e, row = tx.words(buf, offs)
@@ -294,13 +303,13 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, rounds: int = 2, share: float = 0.01, rate: float = 0.05) -> tuple[dict, Vocabulary]:
-    """A model of the documents; every round trains on another ``share`` of them, averaged over tasks."""
+def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, rounds: int = 2, share: float | None = None, rate: float = 0.05) -> tuple[dict, Vocabulary]:
+    """A model of the documents; every round trains on another ``share`` of them (by default all train, each in one round), averaged over tasks."""
     v = vocabulary(docs, size, classes)
     m = start(v, width)
     sc = docs.sparkSession.sparkContext
     for k in range(rounds):
-        low, high = (int((k + j) * share * (1 << 32)) for j in (0, 1))
+        low, high = (((k + j << 32) // rounds if share is None else int((k + j) * share * (1 << 32))) for j in (0, 1))
         held = sc.broadcast((m, v))
 
         def work(batches, held=held, low=low, high=high):
