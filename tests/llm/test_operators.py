@@ -236,13 +236,18 @@ def test_topk(spark):
     x = np.round(np.concatenate([rng.normal(c, 1, (40, 8)) for c in (0, 6, 12)]), 1).astype(np.float32)
     x = np.concatenate([x, x[:10], x[:1].repeat(15, 0)])
     rows = [(k, v.tolist(), "clash") for k, v in enumerate(x)]
-    df = spark.createDataFrame(rows + [(900, None, ""), (None, x[0].tolist(), ""), (901, [1.0], ""), (902, [None] * 8, ""), rows[3]], "vec_id long, embedding array<float>, rank string")
+    df = spark.createDataFrame(rows + [(900, None, ""), (None, x[0].tolist(), ""), (901, [1.0], ""), (902, [None] * 8, ""), (903, [float("inf")] + [0.0] * 7, ""), (904, [float("nan")] * 8, ""), rows[3]], "vec_id long, embedding array<float>, rank string")
     d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     want = {(k, r): int(j) for k in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[k]))[:5], 1)}
     for block in (8192, 20):
-        got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.neighbours(df, 5, block).collect()}
+        got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.neighbours(df, 5, None, block).collect()}
         assert got == want
+        some = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.neighbours(df, 5, F.col("vec_id") % 7 == 0, block, 0 if block == 20 else 64).collect()}
+        assert some == {(q, r): j for (q, r), j in want.items() if q % 7 == 0}
+    named = df.where("vec_id < 145").withColumn("vec_id", F.format_string("v%03d", "vec_id"))
+    assert {(int(r.vec_id[1:]), r["rank"]): int(r.neighbor_id[1:]) for r in topk.neighbours(named, 5, None, 20).collect()} == want
+    assert topk.neighbours(df, 5, F.col("vec_id") > 5000).count() == 0
     assert topk.neighbours(df.limit(0), 5).count() == 0
     assert topk.neighbours(df.where("vec_id < 3"), 5).count() == 6
 

@@ -38,7 +38,8 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.neighbours(store.table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 4))
+    """The queries are the rows whose id is divisible by 50, against all rows."""
+    return topk.neighbours(store.table(spark, sf_dir, "embeddings"), 10, F.col("vec_id") % 50 == 0).withColumn("distance", F.round("distance", 4))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ ORACLES = {
     "op2_license_scan": licenses.scan_sql(),
     "op8_exact_topk": """
     WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbor_id) AS n FROM d)
     SELECT vec_id, n::INT AS rank, neighbor_id, round(sqrt(d2), 4) AS distance FROM r WHERE n <= 10""",
 }
