@@ -122,24 +122,79 @@ def brute_jaccard(texts, threshold, n=3):
     return root
 
 
-def test_jaccard(spark):
+def brute_links(texts, threshold, n=3):
+    """For each text, its n-gram set's other sets at the threshold, and the best partner's similarity and row."""
+    sets = [None] * len(texts)
+    for k, t in enumerate(texts):
+        w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+        sets[k] = frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else None)
+    out = {}
+    for k, x in enumerate(sets):
+        if x is None:
+            continue
+        pairs = [(len(x & y) / len(x | y), -j) for j, y in enumerate(sets) if y is not None and j != k]
+        linked = {sets[-j] for s, j in pairs if s >= threshold and sets[-j] != x}
+        best = max(pairs, default=(0, 0))
+        if best[0] >= threshold:
+            out[k] = (len(linked), best[0], -best[1])
+    return out
+
+
+def edited(rng, text, changes):
+    w = text.split()
+    for k in rng.sample(range(len(w)), changes):
+        w[k] = "changed%d" % rng.randrange(10**6)
+    return " ".join(w)
+
+
+def test_jaccard(spark, monkeypatch):
     rng = random.Random(3)
     texts = [prose(rng, 60) for _ in range(15)]
     for k in range(10):
-        w = texts[k].split()
-        w[rng.randrange(len(w))] = "changed"
-        texts.append(" ".join(w))
+        texts.append(edited(rng, texts[k], 1))
         texts.append(texts[k].upper())
-    want = brute_jaccard(texts, 0.6)
-    got = {r.doc_id: r.group_id for r in jaccard.near_duplicates(docs(spark, texts), 0.6).collect()}
-    assert [got.get(k, k) for k in range(len(texts))] == want
-    kept = {r.doc_id for r in jaccard.drop_duplicates(docs(spark, texts), 0.6).collect()}
+    texts += [edited(rng, texts[12], rng.randint(1, 8)) for _ in range(30)]
+    want, links = brute_jaccard(texts, 0.6), brute_links(texts, 0.6)
+    for tile in (128, 7):  # a group in one tile, or in several
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        rows = {r.doc_id: r for r in jaccard.near_duplicates(docs(spark, texts), 0.6, 0.999).collect()}
+        assert [rows[k].group_id if k in rows else k for k in range(len(texts))] == want
+        assert {k: (r.n_links, r.jaccard, r.partner_id) for k, r in rows.items()} == links
+    assert all(r.class_id == (r.doc_id if r.doc_id < 15 or r.doc_id >= 35 or (r.doc_id - 15) % 2 == 0 else (r.doc_id - 16) // 2) for r in rows.values())
+    kept = {r.doc_id for r in jaccard.drop_duplicates(docs(spark, texts), 0.6, 0.999).collect()}
     assert kept == {k for k, r in enumerate(want) if k == r}
+    named = docs(spark, texts).withColumn("doc_id", F.format_string("d%03d", "doc_id"))
+    assert {int(r.doc_id[1:]): (r.n_links, r.jaccard, int(r.partner_id[1:])) for r in jaccard.near_duplicates(named, 0.6, 0.999).collect()} == links
     b, r = jaccard.bands_for(0.6, 0.97)
     assert 1 - (1 - 0.6**r) ** b >= 0.97 and b * r <= 128
     assert jaccard.near_duplicates(empty(spark)).count() == 0
     assert jaccard.near_duplicates(odd(spark, "jaccard")).count() == 0
-    assert jaccard.drop_duplicates(odd(spark, "jaccard")).count() == 8
+    assert jaccard.drop_duplicates(odd(spark, "h")).count() == 8
+
+
+def test_jaccard_rows(spark):
+    """Documents of one id with different texts are documents of their own."""
+    rng = random.Random(14)
+    x, y = prose(rng, 40), prose(rng, 40)
+    rows = spark.createDataFrame([(1, x), (9, x), (9, y)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.drop_duplicates(rows).collect())) == sorted([(1, x), (9, y)])
+    assert [(r.doc_id, r.partner_id) for r in jaccard.near_duplicates(rows).orderBy("doc_id").collect()] == [(1, 9), (9, 1)]
+    twice = rows.union(rows)
+    assert sorted(map(tuple, jaccard.drop_duplicates(twice).collect())) == sorted([(1, x), (9, y)] * 2)
+
+
+def test_jaccard_common_passage(spark, monkeypatch):
+    """Many documents with a common passage and no partner are verified against hubs only; a true pair among them is found."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20000)]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    texts = [passage + " " + " ".join(rng.choice(words) for _ in range(45)) for _ in range(2000)]
+    texts.append(edited(rng, texts[700], 2))
+    seen, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, sets, t: seen.append(pairs.count()) or verify(pairs, sets, t))
+    got = sorted((r.doc_id, r.group_id, r.n_links) for r in jaccard.near_duplicates(docs(spark, texts)).collect())
+    assert got == [(700, 700, 1), (2000, 700, 1)]
+    assert sum(seen) < 12 * len(texts)
 
 
 def sw(x, y):

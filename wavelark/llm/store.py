@@ -45,8 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", most: int = 2_000_000) -> DataFrame:
-    """Semi or anti join of wide rows with a column of ids, which is broadcast if it has at most ``most`` rows.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores ahead until no column of ``df`` has it (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id", most: int = 2_000_000) -> DataFrame:
+    """Join of wide rows with a narrow table by id columns, which is broadcast if it has at most ``most`` rows.
 
     Beyond that the join is Spark's to plan; the result is the same.
     """
