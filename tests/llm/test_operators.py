@@ -348,17 +348,45 @@ def brute_score(m, v, ids):
     return total
 
 
+def brute_spelling(words):
+    """Log-probability of spelling each of the words, from the counts over all of them."""
+    symbols = {b: k for k, b in enumerate([*range(48, 58), *range(97, 123), *range(128, 256)], 1)}
+    n = [Counter(), Counter(), Counter()]
+    spelled = [[0, 0, *[symbols[b] for b in w.encode()], 0] for w in words]
+    for s in spelled:
+        for i in range(2, len(s)):
+            for k in range(3):
+                n[k][tuple(s[i - k : i + 1])] += 1
+    by = [{}, {}, {}]
+    for k in range(3):
+        for key, c in n[k].items():
+            by[k].setdefault(key[:-1], []).append(c)
+
+    def p(ctx, x):
+        out = 1 / 165
+        for k in range(3):
+            own = by[k].get(tuple(ctx[2 - k :]), [])
+            kinds = len(own) + 1
+            out = (n[k][(*ctx[2 - k :], x)] + kinds * out) / (sum(own) + kinds)
+        return out
+
+    return [sum(np.log(p(s[i - 2 : i], s[i])) for i in range(2, len(s))) for s in spelled]
+
+
+def word_ids(v, text):
+    data, offs = tx.flat(pa.array([text]))
+    s, e, _ = tx.words(tx.fold(data), offs)
+    return v.encode(tx.hashes(tx.fold(data), s, e))
+
+
 def test_language_model(spark):
     rng = random.Random(10)
     texts = [" ".join("a b c d e f g h".split()[(k + j) % 8] for j in range(rng.randint(5, 150))) for k in range(60)]
     df = docs(spark, texts)
-    m, v = lm.fit(df, width=8, size=16, classes=4, rounds=2, share=0.5)
+    m, v = lm.fit(df, width=8, size=16, classes=4)
     got = {r.doc_id: r for r in lm.log_likelihood(df, m, v).collect()}
     for k in (0, 7, 31):
-        h = np.array([x for x in range(1)])
-        data, offs = tx.flat(pa.array([texts[k]]))
-        s, e, _ = tx.words(tx.fold(data), offs)
-        ids = v.encode(tx.hashes(tx.fold(data), s, e))
+        ids = word_ids(v, texts[k])
         assert abs(got[k].log_likelihood - brute_score(m, v, ids)) < 1e-3 * len(ids) and got[k].n_words == len(ids)
     plain = {r.doc_id: r for r in lm.log_likelihood(df, lm.start(v, 8), v).collect()}
     assert sum(r.log_likelihood for r in got.values()) > sum(r.log_likelihood for r in plain.values())
@@ -367,6 +395,23 @@ def test_language_model(spark):
     assert lm.log_likelihood(empty(spark), *lm.fit(empty(spark))).count() == 0
 
 
+def test_language_model_spells(spark):
+    """Words outside the vocabulary cost what their spelling does; equal counts keep the words of lowest hash."""
+    texts = ["the cat and the dog", "the Été and a catalogue", "and the x", None, ""]
+    m, v = lm.fit(docs(spark, texts), width=8, size=4, classes=2)
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    known = {w for t in words for w in t if word_ids(v, w)[0] != lm.UNKNOWN}
+    assert known == {"the", "and"}
+    out = [w for t in words for w in t if w not in known]
+    cost = dict(zip(out, brute_spelling(out)))
+    for r in lm.log_likelihood(docs(spark, texts), m, v).collect():
+        want = sum(cost.get(w, 0) for w in words[r.doc_id]) + (brute_score(m, v, word_ids(v, texts[r.doc_id])) if words[r.doc_id] else 0)
+        assert abs(r.log_likelihood - want) < 1e-3
+    tied = lm.vocabulary(docs(spark, ["q r s t u"]), 4, 2)
+    h = sorted(tx.hashes(tx.fold(np.frombuffer(b"qrstu", np.uint8)), np.arange(5), np.arange(1, 6)).view(np.int64).tolist())
+    assert sorted(tied.hashes.view(np.int64).tolist()) == h[:2]
+
+
 def test_language_model_trains_on_all(spark):
     rng = random.Random(13)
     head = prose(rng, 100)
@@ -382,6 +427,47 @@ def test_language_model_trains_on_all(spark):
         assert np.abs(m["C"]).max() > 0 and np.abs(m["O"]).max() > 0
 
 
+def test_language_model_learns(spark):
+    """Trained on a small table's documents, it predicts held-out ones better than class-factored word frequencies."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    held, rest = d.where("doc_id % 10 = 0"), d.where("doc_id % 10 <> 0")
+    m, v = lm.fit(rest)
+    bits = []
+    for model in (m, lm.start(v, 24) | {"S": m["S"]}):
+        r = lm.log_likelihood(held, {k: a for k, a in model.items() if k != "S"}, v).agg(F.sum("log_likelihood"), F.sum("n_words")).first()
+        bits.append(-r[0] / r[1])
+    assert bits[0] < 0.98 * bits[1]
+
+
+def test_recurrent_gradient():
+    """Back-propagation through a window's recurrent steps agrees with finite differences, with lanes that end inside it."""
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.array([0, 2, 5]), np.array([0, 0, 1, 1, 1]), np.ones(5))
+    rng = np.random.default_rng(1)
+    m = {k: (rng.normal(size=a.shape) * 0.5).astype(np.float64) for k, a in lm.start(v, 3).items()}
+    ids, offs = np.array([2, 3, 4, 1, 2, 3, 3, 4, 2, 2, 1, 4]), np.array([0, 7, 12])
+    (rows, first, size), = lm._groups(ids, offs, 4)
+    _, x, y, ok = lm._window(ids, first, size, 0, 16)
+    h = rng.normal(size=(2, 3))
+    grad, used, _ = lm.gradients(m, v, h, x, y, ok)
+
+    def loss():
+        state, total = h, 0.0
+        for j in range(len(x)):
+            state = lm._cell(m["E"][x[j]] @ m["W"] + m["b"], state, m["U"])[0]
+            total -= lm._softmax(m, v, state[ok[j]], y[j][ok[j]])[0].sum()
+        return total
+
+    for name, g in grad.items():
+        for at in np.ndindex(*g.shape):
+            real = (used[at[0]], *at[1:]) if name == "E" else at
+            m[name][real] += 1e-5
+            up = loss()
+            m[name][real] -= 2e-5
+            down = loss()
+            m[name][real] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-5
+
+
 def test_gradient():
     """Back-propagation agrees with finite differences within one window."""
     v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.array([0, 2, 5]), np.array([0, 0, 1, 1, 1]), np.ones(5))

@@ -12,15 +12,19 @@ within it. Everything is numpy.
   round); by default each document is in one round, so all of them train.
   The models are then averaged, weighted by words, block by block in a
   shuffle.
+* A word outside the vocabulary is predicted as "unknown", then spelled: its
+  bytes and its end have a probability given the two bytes before, by counts
+  over all such words of all documents, interpolated with shorter contexts
+  down to the uniform one. So every word has a cost of its own, and a text of
+  unseen words isn't a cheap one.
 * Scoring carries the recurrent state from window to window to a document's
   end, so a log-likelihood belongs to the complete text. In a batch all
   documents advance together, longest first, so work follows the words.
 
 Defined cases: a null, empty or wordless text has no words, log-likelihood 0
-and null ``bits_per_word``; words outside the vocabulary are one unknown
-word; repeated rows are scored one by one; equal counts in the vocabulary
-are ordered by hash; an empty table gives an empty result; other columns are
-ignored.
+and null ``bits_per_word``; repeated rows are trained on and scored one by
+one; equal counts in the vocabulary are ordered by hash; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ from . import text as tx
 END, UNKNOWN = 0, 1
 RESULT = "doc_id {} , n_words long, log_likelihood double, bits_per_word double"
 BLOCK = 16384
+RANGE = 1 << 18
 _F = np.float32
 
 
@@ -56,6 +61,39 @@ class Vocabulary:
         return np.where(self.hashes[at] == h, self.ids[at], UNKNOWN).astype(np.int32)
 
 
+#: Symbols of the bytes of folded words: 0 is a word's start or end.
+_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL[[*range(48, 58), *range(97, 123), *range(128, 256)]] = np.arange(1, 165)
+SYMBOLS = 165
+
+
+def _spelled(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (two before, symbol) codes of each span's bytes and end, and where each span's begin."""
+    lens = e - s
+    first = np.cumsum(lens + 1) - lens - 1
+    sym = np.zeros(int((lens + 1).sum()) + 2, np.int64)  # two starts ahead of all
+    pos, at = tx.spans(s, e)
+    inside = np.arange(len(pos)) - np.repeat(at - first, lens) + 2
+    sym[inside] = _SYMBOL[buf[pos]]
+    one, two = sym[1:-1].copy(), sym[:-2].copy()
+    begin = first[first < len(one)]
+    one[begin] = 0
+    two[begin] = 0
+    second = begin[lens > 0] + 1
+    two[second] = 0
+    return (two * SYMBOLS + one) * SYMBOLS + sym[2:], first
+
+
+def spelling(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log-probability of every code, given how often codes occurred: contexts of two, one and no symbols, each as much as it was seen."""
+    n = np.bincount(codes, counts, SYMBOLS**3).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    for c in (n.sum((0, 1)), n.sum(0), n):
+        kinds = (c > 0).sum(-1, keepdims=True) + 1.0
+        p = (c + kinds * p) / (c.sum(-1, keepdims=True) + kinds)
+    return np.log(p).astype(_F).reshape(-1)
+
+
 def _counts(batches):
     for b in batches:
         held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -219,63 +257,75 @@ def score(m: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarray, window: int
     return out
 
 
-def train(m: dict, memory: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarray, rate: float = 0.05, window: int = 16, lanes: int = 64) -> int:
+def gradients(m: dict, v: Vocabulary, h: np.ndarray, x: np.ndarray, y: np.ndarray, ok: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Gradients of minus the log-likelihood of a window (time by lane), the ids whose rows of ``E`` they have, and the state after it."""
+    k, n, kind = h.shape[1], len(x), h.dtype
+    used, inv = np.unique(x, return_inverse=True)
+    inv = inv.reshape(-1)
+    px = (m["E"][used] @ m["W"] + m["b"])[inv].reshape(*x.shape, 3 * k)
+    hs, gate = np.empty((n + 1, len(h), k), kind), np.empty((n, len(h), 2 * k), kind)
+    cand, un = np.empty((n, len(h), k), kind), np.empty((n, len(h), k), kind)
+    hs[0] = h
+    for j in range(n):
+        u = hs[j] @ m["U"]
+        gate[j] = _sigmoid(px[j, :, : 2 * k] + u[:, : 2 * k])
+        un[j] = u[:, 2 * k :]
+        np.tanh(px[j, :, 2 * k :] + gate[j, :, :k] * un[j], out=cand[j])
+        hs[j + 1] = cand[j] + gate[j, :, k:] * (hs[j] - cand[j])
+    grad = {"O": np.zeros_like(m["O"]), "o": np.zeros_like(m["o"])}
+    whole = bool(ok.all())
+    _, dh = _softmax(m, v, hs[1:].reshape(-1, k) if whole else hs[1:][ok], y.reshape(-1) if whole else y[ok], grad, _tame(m))
+    if whole:
+        flat = dh.reshape(n, len(h), k)
+    else:
+        flat = np.zeros((n, len(h), k), kind)
+        flat[ok] = dh
+    r, z = gate[:, :, :k], gate[:, :, k:]
+    to_c, to_z, to_r = (1 - z) * (1 - cand * cand), (hs[:-1] - cand) * z * (1 - z), un * r * (1 - r)
+    dpx, du, back = np.empty((n, len(h), 3 * k), kind), np.empty((n, len(h), 3 * k), kind), np.zeros((len(h), k), kind)
+    turned = np.ascontiguousarray(m["U"].T)
+    for j in range(n - 1, -1, -1):
+        d = flat[j] + back
+        dc = d * to_c[j]
+        p, q = dpx[j], du[j]
+        p[:, 2 * k :] = dc
+        np.multiply(d, to_z[j], out=p[:, k : 2 * k])
+        np.multiply(dc, to_r[j], out=p[:, :k])
+        q[:, : 2 * k] = p[:, : 2 * k]
+        np.multiply(dc, r[j], out=q[:, 2 * k :])
+        d *= z[j]
+        back = q @ turned
+        back += d
+    order = np.argsort(inv, kind="stable")
+    dp = np.add.reduceat(dpx.reshape(-1, 3 * k)[order], np.searchsorted(inv[order], np.arange(len(used))), axis=0)
+    grad |= {"U": hs[:-1].reshape(-1, k).T @ du.reshape(-1, 3 * k), "W": m["E"][used].T @ dp, "b": dp.sum(0), "E": dp @ m["W"].T}
+    return grad, used, hs[n]
+
+
+def train(m: dict, memory: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarray, rate: float = 0.2, window: int = 16, lanes: int = 192) -> int:
     """One pass of truncated back-propagation over the documents, in place (Adagrad); returns the words seen."""
     k, seen = m["U"].shape[0], 0
-
-    def step(name: str, g: np.ndarray, rows=slice(None)) -> None:
-        memory[name][rows] += g * g
-        m[name][rows] -= rate * g / np.sqrt(memory[name][rows])
-
     for rows, first, size in _groups(ids, offs, lanes):
         h = np.zeros((len(rows), k), _F)
         for t in range(0, int(size[0]), window):
             live, x, y, ok = _window(ids, first, size, t, window)
-            h = h[:live]
-            kept = []
-            px = m["E"][x] @ m["W"] + m["b"]
-            for j in range(len(x)):
-                new, *rest = _cell(px[j], h, m["U"])
-                kept.append((h, *rest))
-                h = new
-            hs = np.stack([*[c[0] for c in kept[1:]], h])
-            grad = {"O": np.zeros_like(m["O"]), "o": np.zeros_like(m["o"])}
-            flat = np.zeros((*x.shape, k), _F)
-            _, dh = _softmax(m, v, hs[ok], y[ok], grad, _tame(m))
-            flat[ok] = dh
-            n = int(ok.sum())
-            seen += n
-            dpx, back = np.zeros((*x.shape, 3 * k), _F), np.zeros((live, k), _F)
-            du = np.zeros_like(dpx)
-            for j in range(len(x) - 1, -1, -1):
-                prev, r, z, c, un = kept[j]
-                d = flat[j] + back
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (prev - c) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                dpx[j, :, :k], dpx[j, :, k : 2 * k], dpx[j, :, 2 * k :] = dr, dz, dc
-                du[j] = dpx[j]
-                du[j, :, 2 * k :] *= r
-                back = d * z + du[j] @ m["U"].T
-            dU = np.concatenate([c[0] for c in kept]).T @ du.reshape(-1, 3 * k)
-            d, at = dpx[ok], x[ok]
-            scale = 1 / max(live, 1)
-            dE = np.zeros_like(m["E"])
-            np.add.at(dE, at, d @ m["W"].T)
-            used = np.unique(at)
-            step("W", np.clip(m["E"][at].T @ d * scale, -1, 1))
-            step("U", np.clip(dU * scale, -1, 1))
-            step("b", np.clip(d.sum(0) * scale, -1, 1))
-            step("C", grad["C"] * scale)
-            step("c", grad["c"] * scale)
-            step("E", dE[used] * scale, used)
-            step("O", grad["O"] * scale)
-            step("o", grad["o"] * scale)
+            grad, used, h = gradients(m, v, h[:live], x, y, ok)
+            seen += int(ok.sum())
+            for name, g in grad.items():
+                at = used if name == "E" else slice(None)
+                g *= _F(1 / lanes)  # not by the lanes alive: the last of a long document aren't worth as much as all
+                if name in "WUb":
+                    np.clip(g, -1, 1, out=g)
+                memory[name][at] += g * g
+                m[name][at] -= rate * g / np.sqrt(memory[name][at])
     return seen
 
 
-def _ids(batch, v: Vocabulary, low: int = 0, high: int = 1 << 32) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of a batch's texts whose hash's top 32 bits are in [low, high), and their offsets by row."""
+def _ids(batch, v: Vocabulary, low: int = 0, high: int = 1 << 32, unknown=None) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids of a batch's texts whose hash's top 32 bits are in [low, high), and their offsets by row.
+
+    ``unknown`` is called with (folded bytes, starts, ends, rows) of the words outside the vocabulary.
+    """
     ids, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for part in tx.slices(iter([batch]), "text"):
         data, offs = tx.flat(part.column("text"))
@@ -286,7 +336,11 @@ def _ids(batch, v: Vocabulary, low: int = 0, high: int = 1 << 32) -> tuple[np.nd
             data, offs = tx.flat(part.column("text"))
         buf = tx.fold(data)
         s, e, row = tx.words(buf, offs)
-        ids.append(v.encode(tx.hashes(buf, s, e)))
+        now = v.encode(tx.hashes(buf, s, e))
+        if unknown is not None:
+            some = np.flatnonzero(now == UNKNOWN)
+            unknown(buf, s[some], e[some], row[some] + sum(map(len, per)))
+        ids.append(now)
         per.append(np.bincount(row, minlength=len(offs) - 1))
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(per))]).astype(np.int64)
 
@@ -303,57 +357,94 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, rounds: int = 2, share: float | None = None, rate: float = 0.05) -> tuple[dict, Vocabulary]:
-    """A model of the documents; every round trains on another ``share`` of them (by default all train, each in one round), averaged over tasks."""
+def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, rounds: int = 2, rate: float = 0.2) -> tuple[dict, Vocabulary]:
+    """A model of the documents: every document trains in one of ``rounds`` rounds, after each of which the tasks' models are averaged.
+
+    Its entry ``S`` has the log-probabilities of ``spelling``.
+    """
     v = vocabulary(docs, size, classes)
     m = start(v, width)
     sc = docs.sparkSession.sparkContext
+    codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(rounds):
-        low, high = (((k + j << 32) // rounds if share is None else int((k + j) * share * (1 << 32))) for j in (0, 1))
+        low, high = ((k + j << 32) // rounds for j in (0, 1))
         held = sc.broadcast((m, v))
 
         def work(batches, held=held, low=low, high=high):
             model, voc = held.value
             model, seen = {n: a.copy() for n, a in model.items()}, 0
-            memory = {n: np.full_like(a, 0.1) for n, a in model.items()}
+            memory = {n: np.full_like(a, 0.01) for n, a in model.items()}
+            spelled = np.zeros(SYMBOLS**3, np.int64)
+
+            def unknown(buf, s, e, row):
+                if len(s):
+                    np.add(spelled, np.bincount(_spelled(buf, s, e)[0], minlength=SYMBOLS**3), out=spelled)
+
             for b in batches:
-                ids, offs = _ids(b, voc, low, high)
+                ids, offs = _ids(b, voc, low, high, unknown)
                 seen += train(model, memory, voc, ids, offs, rate)
+            kinds = ["part", "block", "seen", "data", "code", "n"]
             if seen:
                 flat = _pack(model)
                 n = -(-len(flat) // BLOCK)
                 blocks = [(flat[j * BLOCK : (j + 1) * BLOCK]).tobytes() for j in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "seen", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.array(blocks, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=kinds)
+            # spelling counts by range of codes, so that each range is added up in one place
+            for j, lo in enumerate(range(0, SYMBOLS**3, RANGE)):
+                some = np.flatnonzero(spelled[lo : lo + RANGE])
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([j], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([spelled[lo + some].tobytes()], pa.binary())], names=kinds)
 
         def mean(batches):
             total: dict[int, list] = {}
+            counts: dict[int, np.ndarray] = {}
             for b in batches:
-                for j, w, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    a = np.frombuffer(raw, _F).astype(np.float64) * w
-                    t = total.setdefault(j, [0, np.zeros(len(a))])
-                    t[0] += w
-                    t[1] += a
-            for j, (w, a) in sorted(total.items()):
-                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([(a / w).astype(_F).tobytes()], pa.binary())], names=["block", "data"])
-
-        trained = docs.select("text").mapInArrow(work, "block int, seen long, data binary")
-        blocks = {r.block: r.data for r in trained.repartition("block").mapInArrow(mean, "block int, data binary").collect()}
+                for part, j, w, raw, code, n in zip(*(b.column(i).to_pylist() for i in range(6))):
+                    if part:
+                        np.add.at(counts.setdefault(j, np.zeros(RANGE, np.int64)), np.frombuffer(code, np.int32), np.frombuffer(n, np.int64))
+                    else:
+                        a = np.frombuffer(raw, _F).astype(np.float64) * w
+                        t = total.setdefault(j, [0, np.zeros(len(a))])
+                        t[0] += w
+                        t[1] += a
+            for part, rows in ((0, [(j, (a / w).astype(_F)) for j, (w, a) in sorted(total.items())]), (1, sorted(counts.items()))):
+                for j, a in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([j], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["part", "block", "data"])
+
+        trained = docs.select("text").mapInArrow(work, "part int, block int, seen long, data binary, code binary, n binary")
+        got = trained.repartition("part", "block").mapInArrow(mean, "part int, block int, data binary").toArrow().sort_by([("part", "ascending"), ("block", "ascending")]).to_pylist()
+        blocks = [np.frombuffer(r["data"], _F) for r in got if r["part"] == 0]
         if blocks:
-            m = _unpack(np.concatenate([np.frombuffer(blocks[j], _F) for j in sorted(blocks)]), m)
+            m = _unpack(np.concatenate(blocks), m)
+        for r in got:
+            if r["part"]:
+                n = np.frombuffer(r["data"], np.int64)
+                some = np.flatnonzero(n)
+                codes[0].append(some + r["block"] * RANGE)
+                codes[1].append(n[some])
         held.unpersist()
-    return m, v
+    return m | {"S": spelling(np.concatenate(codes[0]), np.concatenate(codes[1]))}, v
 
 
 def log_likelihood(docs: DataFrame, m: dict, v: Vocabulary) -> DataFrame:
     """Rows (doc_id, n_words, log_likelihood in nats, bits_per_word) for every document; the end counts as a word predicted."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(({"P": m["E"] @ m["W"] + m["b"], **{k: m[k] for k in "UCcOo"}}, v))
+    held = docs.sparkSession.sparkContext.broadcast(({"P": m["E"] @ m["W"] + m["b"], **{k: m[k] for k in "UCcOoS" if k in m}}, v))
 
     def work(batches):
         model, voc = held.value
+        table = model.get("S")
         for b in batches:
-            ids, offs = _ids(b, voc)
-            lp, n = score(model, voc, ids, offs), np.diff(offs)
+            spelled = np.zeros(b.num_rows)
+
+            def unknown(buf, s, e, row, spelled=spelled):
+                if len(s):
+                    codes, first = _spelled(buf, s, e)
+                    cost = np.add.reduceat(table[codes].astype(np.float64), first)
+                    np.add(spelled, np.bincount(row, cost, len(spelled)), out=spelled)
+
+            ids, offs = _ids(b, voc, unknown=unknown if table is not None else None)
+            lp, n = score(model, voc, ids, offs) + spelled, np.diff(offs)
             bits = np.where(n > 0, -lp / np.log(2) / (n + 1), np.nan)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(lp), pa.array(bits, from_pandas=True)], names=["doc_id", "n_words", "log_likelihood", "bits_per_word"])
 
