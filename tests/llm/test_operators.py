@@ -83,6 +83,101 @@ def test_line_dedup(spark):
     assert len(got) == 8 and [r.text for r in got if r.doc_id == 0] == [None] and linededup.dedup_lines(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("clash", ["_key", "key", "line", "lines", "_hot", "n_lines", "N_Dropped"])
+def test_line_dedup_clashes(spark, clash):
+    rng = random.Random(16)
+    d = docs(spark, [prose(rng, 30) + f"\nPosted on day {k} by user {k * 7} in the forum" for k in range(12)], clash)
+    hot = linededup.recurring_lines(d)
+    a, b = (sorted(map(tuple, linededup.drop_lines(d, hot, n, counts=False).collect())) for n in (1000, 0))
+    assert a == b and linededup.dedup_lines(d, counts=False).columns == d.columns and all(r[-1] == "clash" and "Posted" not in r[1] for r in a)
+
+
+def brute_lines(texts, min_docs=5, similarity=0.7, min_tokens=3):
+    """Plain strings: the tree line by line, and documents that are copies by the trigrams of what is outside candidates."""
+    def tokens(line):
+        return tuple("*" if any(c.isdigit() for c in t) else t for t in line.lower().split())
+
+    held = {}
+    for k, text in enumerate(texts):
+        for t in {tokens(x) for x in (text or "").split("\n")}:
+            if len(t) >= min_tokens:
+                held.setdefault(t, set()).add(k)
+    leaves = {}
+    for t in held:
+        leaves.setdefault((len(t), tuple([(i, x) for i, x in enumerate(t) if x != "*"][:3])), []).append(t)
+    made = []  # template, lines
+    order = {t: int(linededup.Lines(*tx.flat(pa.array([" ".join("0" if x == "*" else x for x in t)]))).line[0]) for t in held}
+    for lines in leaves.values():
+        own = []
+        for t in sorted(lines, key=lambda t: (-len(held[t]), order[t])):
+            same = [sum(a == b and b != "*" for a, b in zip(m, t)) for m, _ in own]
+            if same and max(same) >= similarity * len(t):
+                m = own[same.index(max(same))]
+                m[0][:] = [a if a == b else "*" for a, b in zip(m[0], t)]
+                m[1].append(t)
+            else:
+                own.append((list(t), [t]))
+        made += own
+    some = [m for m in made if sum(x != "*" for x in m[0]) >= 0.5 * len(m[0]) and sum(len(held[t]) for t in m[1]) >= min_docs]
+    cand = {t for m in some for t in m[1]}
+
+    def grams(k, outside):
+        rows = [tokens(x) for x in texts[k].split("\n")]
+        flat = [(i, x) for i, r in enumerate(rows) for x in r]
+        out = {tuple(x for _, x in flat[j : j + 3]) for j in range(len(flat) - 2) if flat[j][0] == flat[j + 2][0] and not (outside and rows[flat[j][0]] in cand)}
+        n = sum(len(r) for r in rows), sum(len(r) for r in rows if r not in cand)
+        return grams(k, False) if outside and n[1] * 3 <= n[0] else out
+
+    def copies(i, j):
+        return any(a and len(a & b) >= 0.1 * len(a | b) for a, b in ((grams(i, True), grams(j, False)), (grams(i, False), grams(j, True))))
+
+    gone = set()
+    for _, lines in some:
+        apart = []
+        for k in sorted(set().union(*(held[t] for t in lines))):
+            if not any(copies(k, j) for j in apart):
+                apart.append(k)
+        if len(apart) >= min_docs:
+            gone |= set(lines)
+    return ["\n".join(x for x in t.split("\n") if not x.split() or tokens(x) not in gone) for t in texts]
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4000)]
+    sites = [f"Visit our site {a} {b} for the latest news today" for a, b in zip(words[:40], words[40:80])]
+    texts = []
+    for k in range(60):
+        body = [prose(rng, rng.randint(4, 14), words) for _ in range(6)]
+        body.insert(rng.randrange(6), rng.choice(sites))
+        if k % 3 == 0:
+            body.insert(rng.randrange(6), f"{k} 12:{k} posted by {rng.choice(words[:5])} in thread {k * 3}")
+        if k % 9 == 0:
+            body += ["a rare footer of six words", ""]
+        if k % 20 == 0:
+            body.append("only three have this line here")
+        texts.append("\n".join(body))
+    texts += [texts[7]] * 9 + [prose(rng, 40, words) + "\n" + f"single {k}" for k in range(3)]
+    want = brute_lines(texts)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[k].strip("\n") for k in range(len(texts))] == [t.strip("\n") for t in want] and sum(a != b for a, b in zip(texts, want)) >= 60
+
+
+def test_templates_index():
+    """The index of segments changes nothing; equal similarity goes to the template founded first."""
+    rng = np.random.default_rng(18)
+    for size in (3, 4, 7, 12, 30):
+        base = rng.integers(1, 60, (30, size)).astype(np.uint16)
+        t = base[rng.integers(0, 30, 600)].copy()
+        t[rng.random(t.shape) < 0.2] = 0
+        other = rng.random(t.shape) < 0.15
+        t[other] = rng.integers(1, 60, int(other.sum()))
+        a, b = linededup.templates(t, 0.7), linededup.templates(t, 0.7, False)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and len(a[1]) > 20
+    tie = np.array([[1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [1, 2, 3, 4, 5, 6, 17, 18, 19, 20], [1, 2, 3, 4, 5, 6, 7, 8, 19, 20]], np.uint16)
+    assert linededup.templates(tie, 0.7)[0].tolist() == [0, 1, 0]
+
+
 def test_line_dedup_distinct_documents(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]

@@ -2,10 +2,13 @@
 
 A line is split at white space; tokens that hold a digit are variable from
 the start. The tree has a fixed depth: lines part by token count, then by
-their leading tokens, and in a leaf a line joins the most similar template
-(share of equal tokens at equal places, at least ``similarity``), whose
-differing places become variable, or else founds a new one. A template that
-recurs in many documents is boilerplate and its lines are dropped.
+their first LEAD tokens that aren't variable (and the places of these), and
+in a leaf a line joins the most similar template (share of equal tokens at
+equal places, at least ``similarity``), whose differing places become
+variable, or else founds a new one. A template that recurs in many documents
+is boilerplate and its lines are dropped. Lines are combined before the
+shuffle, and in a leaf an index of segments finds the templates that a line
+can join, so that a leaf of many templates isn't searched whole.
 
 Copies of one document also repeat its lines, but they are no boilerplate:
 which copy stays is for the near-duplicate join to say. So what is counted
@@ -23,8 +26,9 @@ are distinct documents, copies and near copies of one another being one:
    the other's in COPY of the ranges that either has, and a template recurs
    if ``min_docs`` of its documents are no copies of one another.
 
-Every batch passes on up to ``min_docs`` such documents of each template, so
-a line in most documents doesn't make a skewed partition. Where similarity
+Every task passes on up to ``min_docs`` such documents of each template, and
+these are thinned out once more by groups of tasks, so a line in most
+documents doesn't make a skewed partition. Where similarity
 isn't transitive (A like B, B like C, A not like C) which documents are met
 first can decide; such groups are near the limit COPY. Documents with more
 than 1 - OUTSIDE of their tokens in common lines count as copies.
@@ -37,7 +41,10 @@ than ``min_tokens`` tokens (blank ones among them) is never dropped; a line
 repeated within one document counts once; equal similarity goes to the
 template founded first, templates being founded in order of falling document
 count, then line hash; a document whose every line is dropped has the text
-''; empty tables give empty results; other columns are carried along.
+''; repeated rows stay, and count as copies; empty tables give empty results;
+other columns are carried along, whatever their names, but for columns named
+as the counts ``n_lines`` and ``n_dropped``, which are replaced (none is with
+``counts=False``).
 """
 
 from __future__ import annotations
@@ -86,7 +93,11 @@ class Lines:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
         size = self.count.astype(np.uint64)
         self.line = tx.mix(total[self.first + self.count] - total[self.first] + size)
-        self.leaf = tx.mix(total[self.first + np.minimum(self.count, LEAD)] - total[self.first] + size * np.uint64(0xFF51AFD7ED558CCD))
+        fixed = h != _WILD
+        before = np.concatenate([[0], np.cumsum(fixed)])
+        lead = fixed & (before[:-1] - before[self.first[of]] < LEAD) if len(s) else fixed
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(lead, term, np.uint64(0)), dtype=np.uint64)])
+        self.leaf = tx.mix(total[self.first + self.count] - total[self.first] + size * np.uint64(0xFF51AFD7ED558CCD))
         self.hash, self.of = h, of
 
     def signatures(self, n_rows: int, hot: np.ndarray) -> np.ndarray:
@@ -160,23 +171,53 @@ def _apart(signs: np.ndarray, most: int) -> list[int]:
     return kept
 
 
-def templates(tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The template of each line (rows of equal length, 0 = variable), in the order in which they come, and all templates."""
-    made = np.zeros((4, tokens.shape[1]), np.uint16)
+def templates(tokens: np.ndarray, similarity: float, indexed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The template of each line (rows of equal length, 0 = variable), in the order in which they come, and all templates.
+
+    A line that a template takes differs from it in at most (1 - ``similarity``) of the places, so of one segment more than that number at least one is equal in all
+    places and none of these variable. An index of the templates' segments gives all that can take a line; ``indexed`` = False compares with every template, with the same result.
+    """
+    size = tokens.shape[1]
+    made = np.zeros((4, size), np.uint16)
     n, out = 0, np.zeros(len(tokens), np.int64)
+    cuts = np.linspace(0, size, size - int(np.ceil(similarity * size - 1e-9)) + 2).astype(int)
+    parts = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+    indexed = indexed and len(tokens) > 32 and len(parts) == len(cuts) - 1
+    index: dict[tuple, list[int]] = {}
     for k, t in enumerate(tokens):
         best = -1
         if n:
-            same = (made[:n] == t).sum(1)
-            best = int(same.argmax())
-            if same[best] < similarity * len(t):
-                best = -1
+            if indexed:
+                keys = [(j, t[lo:hi].tobytes()) for j, lo, hi in parts]
+                found = set()
+                for key in keys:
+                    found.update(index.get(key, ()))
+                some = np.array(sorted(found), np.int64)
+            else:
+                some = np.arange(n)
+            if len(some):
+                same = ((made[some] == t) & (t > 0)).sum(1)
+                at = int(same.argmax())
+                best = int(some[at]) if same[at] >= similarity * size else -1
         if best < 0:
             if n == len(made):
                 made = np.concatenate([made, np.zeros_like(made)])
             made[n], best, n = t, n, n + 1
+            changed = np.ones(size, bool)
+            old = None
         else:
-            made[best][made[best] != t] = 0
+            changed = made[best] != t
+            old = made[best].copy()
+            made[best][changed] = 0
+        if indexed and changed.any():
+            now = made[best]
+            for j, lo, hi in parts:
+                if not changed[lo:hi].any():
+                    continue
+                if old is not None and (old[lo:hi] > 0).all():
+                    index[j, old[lo:hi].tobytes()].remove(best)
+                if (now[lo:hi] > 0).all():
+                    index.setdefault((j, now[lo:hi].tobytes()), []).append(best)
         out[k] = best
     return out, made[:n]
 
@@ -232,8 +273,31 @@ def _candidates(batches, min_docs: int, similarity: float):
         yield from done(pa.Table.from_batches(held))
 
 
+def _binary(signs: np.ndarray) -> pa.Array:
+    signs = np.ascontiguousarray(signs)
+    width = 2 * BINS
+    return pa.Array.from_buffers(pa.binary(), len(signs), [None, pa.py_buffer(np.arange(0, (len(signs) + 1) * width, width, dtype=np.int32)), pa.py_buffer(signs.tobytes())])
+
+
+def _thinned(of: np.ndarray, sign: np.ndarray, min_docs: int) -> np.ndarray:
+    """Places of up to ``min_docs`` signatures of each template no two of which are copies; equal ones are one, and the order of the rows doesn't matter."""
+    key = tx.mix((sign * tx._power(2 * BINS)[: 2 * BINS]).sum(1, dtype=np.uint64)) if len(of) else np.zeros(0, np.uint64)
+    order = np.lexsort((key, of))
+    of, key = of[order], key[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+    order, of = order[new], of[new]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    stop = np.append(first[1:], len(of))
+    keep = np.zeros(len(of), bool)
+    keep[first] = True
+    for lo, hi in zip(first[stop - first > 1], stop[stop - first > 1]):
+        keep[lo + np.array(_apart(sign[order[lo:hi]], min_docs))] = True
+    return order[keep]
+
+
 def _signed(batches, line: np.ndarray, template: np.ndarray, min_docs: int):
-    """Rows (template, sign): up to ``min_docs`` documents of a batch for each template in them, no two of them copies. ``line`` is sorted."""
+    """Arrays (template, sign) of a task: up to ``min_docs`` documents of each batch for each template in them, no two of them copies. ``line`` is sorted."""
     for b in batches:
         of, signs = [np.zeros(0, np.int64)], [np.zeros((0, 2 * BINS), np.uint8)]
         for part in tx.slices(iter([b]), "text"):
@@ -247,40 +311,46 @@ def _signed(batches, line: np.ndarray, template: np.ndarray, min_docs: int):
             of.append(pair[0])
             signs.append(x.signatures(len(offs) - 1, hot)[pair[1]])
         of, sign = np.concatenate(of), np.concatenate(signs)
-        # equal signatures are one
-        key = tx.mix((sign * tx._power(2 * BINS)[: 2 * BINS]).sum(1, dtype=np.uint64))
-        order = np.lexsort((key, of))
-        of, key, sign = of[order], key[order], sign[order]
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
-        of, sign = of[new], sign[new]
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-        stop = np.append(first[1:], len(of))
-        keep = np.zeros(len(of), bool)
-        keep[first] = True
-        for lo, hi in zip(first[stop - first > 1], stop[stop - first > 1]):
-            keep[lo + np.array(_apart(sign[lo:hi], min_docs))] = True
-        of, sign = of[keep], np.ascontiguousarray(sign[keep])
-        binary = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(np.arange(0, (len(of) + 1) * 2 * BINS, 2 * BINS, dtype=np.int32)), pa.py_buffer(sign.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(of), binary], names=["template", "sign"])
+        at = _thinned(of, sign, min_docs)
+        yield of[at], sign[at]
 
 
-def _counted(batches, min_docs: int):
-    """Templates with ``min_docs`` documents that are no copies of one another."""
+def _combined(parts, min_docs: int):
+    """One batch of rows (template, sign) from a task's arrays."""
+    of, sign = np.zeros(0, np.int64), np.zeros((0, 2 * BINS), np.uint8)
+    for more, signs in parts:
+        of, sign = np.concatenate([of, more]), np.concatenate([sign, signs])
+        at = _thinned(of, sign, min_docs)
+        of, sign = of[at], sign[at]
+    yield pa.RecordBatch.from_arrays([pa.array(of), _binary(sign)], names=["template", "sign"])
+
+
+def _gathered(batches):
     for b in batches:
-        got = []
-        for t, signs in zip(b.column("template").to_pylist(), b.column("signs").to_pylist()):
-            if len(signs) >= min_docs and len(_apart(np.frombuffer(b"".join(sorted(signs)), np.uint8).reshape(-1, 2 * BINS), min_docs)) >= min_docs:
-                got.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["template"])
+        raw = b.column("sign").to_pylist()
+        yield b.column("template").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2 * BINS)
+
+
+def _counted(batches, min_docs: int):
+    """Templates with ``min_docs`` documents that are no copies of one another, of rows that hold all of a template."""
+    of, sign = [np.zeros(0, np.int64)], [np.zeros((0, 2 * BINS), np.uint8)]
+    for t, s in _gathered(batches):
+        of.append(t)
+        sign.append(s)
+    of, sign = np.concatenate(of), np.concatenate(sign)
+    u, n = np.unique(of[_thinned(of, sign, min_docs)], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(u[n >= min_docs])], names=["template"])
 
 
 def _found(batches):
-    """Rows (_key, line) of all lines."""
+    """Rows (key, line) of all lines."""
     for b in tx.slices(batches, "text"):
         data, offs = tx.flat(b.column("text"))
         x = Lines(data, offs)
-        yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(x.row)), pa.array(x.line.view(np.int64))], names=["_key", "line"])
+        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(x.row)), pa.array(x.line.view(np.int64))], names=["key", "line"])
+
+
+GROUPS = 64
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7, min_tokens: int = 3, broadcast_lines: int = 2_000_000) -> DataFrame:
@@ -297,39 +367,44 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7,
         line, of = t.column("line").to_numpy().view(np.uint64), t.column("template").to_numpy()
         order = np.argsort(line)
         held = docs.sparkSession.sparkContext.broadcast((line[order], of[order]))
-        signed = docs.mapInArrow(lambda b: _signed(b, *held.value, min_docs), "template long, sign binary")
+        signed = docs.mapInArrow(lambda b: _combined(_signed(b, *held.value, min_docs), min_docs), "template long, sign binary")
     else:
-        # a key by content, as in drop_lines
-        keyed = docs.withColumn("_key", F.xxhash64("text"))
-        found = keyed.mapInArrow(_found, "_key long, line long").distinct().join(lines, "line")
-        found = found.groupBy("_key").agg(F.collect_list("line").alias("_line"), F.collect_list("template").alias("_template"))
+        # a key by content: of texts with one key each gets the other's candidates too, which it doesn't hold
+        keyed = docs.select(F.xxhash64("text").alias("key"), "text")
+        found = keyed.mapInArrow(_found, "key long, line long").distinct().join(lines, "line")
+        found = found.groupBy("key").agg(F.collect_list("line").alias("lines"), F.collect_list("template").alias("templates"))
 
         def sign(batches):
             for b in batches:
-                line, of = (b.column(c).flatten().to_numpy() for c in ("_line", "_template"))
+                line, of = (b.column(c).flatten().to_numpy() for c in ("lines", "templates"))
                 line, i = np.unique(line.view(np.uint64), return_index=True)
                 yield from _signed(iter([b.select(["text"])]), line, of[i], min_docs)
 
-        signed = keyed.join(found, "_key").select("text", "_line", "_template").mapInArrow(sign, "template long, sign binary")
-    signs = signed.groupBy("template").agg(F.collect_list("sign").alias("signs"))
-    return lines.join(signs.mapInArrow(lambda b: _counted(b, min_docs), "template long"), "template").select("line")
+        signed = keyed.join(found, "key").select("text", "lines", "templates").mapInArrow(lambda b: _combined(sign(b), min_docs), "template long, sign binary")
+    # by groups of tasks first
+    some = signed.withColumn("group", F.spark_partition_id() % GROUPS).repartition("template", "group")
+    some = some.select("template", "sign").mapInArrow(lambda b: _combined(_gathered(b), min_docs), "template long, sign binary")
+    return lines.join(some.repartition("template").mapInArrow(lambda b: _counted(b, min_docs), "template long"), "template").select("line")
 
 
-def _strip(batches, names: list[str], hot: np.ndarray):
-    for b in tx.slices(batches, "text"):
-        data, offs = tx.flat(b.column("text"))
-        x = Lines(data, offs)
-        at = np.minimum(np.searchsorted(hot, x.line), max(len(hot) - 1, 0))
-        bad = hot[at] == x.line if len(hot) else np.zeros(len(x.line), bool)
-        n_lines, n_bad = np.bincount(x.row, minlength=b.num_rows), np.bincount(x.row[bad], minlength=b.num_rows)
-        col = b.column("text")
-        if bad.any():
-            raw, cut, new = data.tobytes(), tx.bounds(x.row, b.num_rows), col.to_pylist()
-            for r in np.flatnonzero(n_bad):
-                new[r] = _without(raw, offs[r], offs[r + 1], x, bad, cut[r], cut[r + 1])
-            col = pa.array(new, pa.string())
-        cols = [col if c == "text" else b.column(c) for c in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines), pa.array(n_bad)], names=[*names, "n_lines", "n_dropped"])
+def _strip(batches, names: list[str], hot: np.ndarray, counts: tuple[str, str]):
+    """``names`` of the batches' first columns, the text among them, and the counts."""
+    for b in batches:
+        b = pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names)
+        for part in tx.slices(iter([b]), "text"):
+            data, offs = tx.flat(part.column("text"))
+            x = Lines(data, offs)
+            at = np.minimum(np.searchsorted(hot, x.line), max(len(hot) - 1, 0))
+            bad = hot[at] == x.line if len(hot) else np.zeros(len(x.line), bool)
+            n_lines, n_bad = np.bincount(x.row, minlength=part.num_rows), np.bincount(x.row[bad], minlength=part.num_rows)
+            col = part.column("text")
+            if bad.any():
+                raw, cut, new = data.tobytes(), tx.bounds(x.row, part.num_rows), col.to_pylist()
+                for r in np.flatnonzero(n_bad):
+                    new[r] = _without(raw, offs[r], offs[r + 1], x, bad, cut[r], cut[r + 1])
+                col = pa.array(new, pa.string())
+            cols = [col if c == "text" else part.column(k) for k, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines), pa.array(n_bad)], names=[*names, *counts])
 
 
 def _without(raw: bytes, lo: int, hi: int, x: Lines, bad: np.ndarray, first: int, last: int) -> str:
@@ -342,38 +417,40 @@ def _without(raw: bytes, lo: int, hi: int, x: Lines, bad: np.ndarray, first: int
     return b"\n".join(kept).decode() if any(kept) else ""
 
 
-def drop_lines(docs: DataFrame, recurring: DataFrame, broadcast_lines: int = 2_000_000) -> DataFrame:
-    """``docs`` without the lines in ``recurring``, with ``n_lines`` (not blank) and ``n_dropped``.
+def drop_lines(docs: DataFrame, recurring: DataFrame, broadcast_lines: int = 2_000_000, counts: bool = True) -> DataFrame:
+    """``docs`` without the lines in ``recurring``, with ``n_lines`` (not blank) and ``n_dropped``; ``n_chars``, if there is one, follows the text.
 
     Up to ``broadcast_lines`` hashes (16 MB) are broadcast; more are joined with the documents' lines, with the same result.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = ("n_lines", "n_dropped") if counts else (store.unused(docs, "n_lines"), store.unused(docs, "n_dropped"))
+    names = [c for c in docs.columns if c not in own]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    extra = T._parse_datatype_string("n_lines long, n_dropped long").fields
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in own)])
     if recurring.count() <= broadcast_lines:
-        hot = np.sort(np.array([r[0] for r in recurring.collect()], np.int64).view(np.uint64))
+        hot = recurring.toArrow().column("line").to_numpy().view(np.uint64)
         held = docs.sparkSession.sparkContext.broadcast(np.unique(hot))
-        return docs.mapInArrow(lambda b: _strip(b, names, held.value), T.StructType(docs.schema.fields + extra))
-
-    # a key by content: equal rows lose equal lines
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = keyed.select("_key", "text").mapInArrow(_found, "_key long, line long").distinct()
-    found = found.join(recurring.distinct(), "line").groupBy("_key").agg(F.collect_list("line").alias("_hot"))
-    both = keyed.join(found, "_key", "left").select(*[F.col(f"`{c}`") for c in names], "_hot")
-
-    def strip(batches):
-        for b in batches:
-            hot = b.column("_hot").drop_null().flatten()
-            yield from _strip(iter([b.select(names)]), names, np.unique(np.asarray(hot).view(np.uint64)) if len(hot) else np.zeros(0, np.uint64))
+        out = docs.mapInArrow(lambda b: _strip(b, names, held.value, own), schema)
+    else:
+        # a key by content: equal texts lose equal lines, and texts that only share a key hold none of each other's recurring lines or lose them rightly
+        key, lines = store.unused(docs, "key"), store.unused(docs, "lines")
+        keyed = docs.withColumn(key, F.xxhash64("text"))
+        found = keyed.select(F.col(key).alias("key"), "text").mapInArrow(_found, "key long, line long").distinct()
+        found = found.join(recurring.distinct(), "line").groupBy("key").agg(F.collect_list("line").alias(lines)).withColumnRenamed("key", key)
+        both = keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in names], lines)
+
+        def strip(batches):
+            for b in batches:
+                hot = b.column(len(names)).drop_null().flatten()
+                yield from _strip(iter([b]), names, np.unique(np.asarray(hot).view(np.uint64)) if len(hot) else np.zeros(0, np.uint64), own)
 
-    return both.mapInArrow(strip, T.StructType(docs.schema.fields + extra))
+        out = both.mapInArrow(strip, schema)
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(own[1]) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out if counts else out.drop(*own)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7, min_tokens: int = 3) -> DataFrame:
-    """All documents, each without its recurring lines; ``n_chars``, if there is one, follows the text."""
+def dedup_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7, min_tokens: int = 3, counts: bool = True) -> DataFrame:
+    """All documents, each without its recurring lines; with ``n_lines`` and ``n_dropped`` unless ``counts`` is false."""
     hot = store.save(recurring_lines(docs, min_docs, similarity, min_tokens), "recurring")
-    out = drop_lines(docs, hot)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out
+    return drop_lines(docs, hot, counts=counts)
