@@ -13,8 +13,8 @@ is linked to, and its most similar partner. It finds them without listing
 all pairs of a bucket or group:
 
 1. documents of equal n-gram sets are one class;
-2. in every bucket all classes are verified against one hub, chosen by a
-   hash that differs among bands, so that a class meets up to HUBS hubs;
+2. in every bucket all classes are verified against one hub, the lowest in
+   an order that differs among bands, so that a class meets up to HUBS hubs;
 3. the verified pairs are closed to components;
 4. in buckets that still hold several components, what could join two of
    them is verified: in one of up to FEW classes every pair across
@@ -284,10 +284,12 @@ def _near(docs: DataFrame, threshold: float, recall: float, n: int, hashes: int)
     low = store.save(low.withColumn("cid", F.monotonically_increasing_id()), "sets")
 
     hot = low.select("cid", F.posexplode("bands").alias("at", "band"))
-    # hot bands are combined before the shuffle; the join back is with one row a band
-    hub = F.min(F.struct(F.xxhash64("cid", F.col("at") % HUBS).alias("h"), "cid"))
-    buckets = hot.groupBy("band").agg(hub.alias("pick"), F.count("*").alias("n")).where("n > 1").select("band", F.col("pick.cid").alias("hub"), "n")
-    hot = store.save(hot.join(buckets, "band").select("band", "cid", "hub", "n"), "buckets")
+    # a band's hub is the lowest class in one of HUBS orders (ids with some bits turned); hot bands are combined before the shuffle
+    turn = F.element_at(F.array(*[F.lit(int(_XOR[k] >> np.uint64(1))) for k in range(HUBS)]), F.col("at") % HUBS + 1)
+    hot = hot.select("band", "cid", turn.alias("turn"))
+    buckets = hot.groupBy("band").agg(F.min(F.col("cid").bitwiseXOR(F.col("turn"))).alias("low"), F.min("turn").alias("turn"), F.count("*").alias("n")).where("n > 1")
+    buckets = buckets.select("band", F.col("low").bitwiseXOR(F.col("turn")).alias("hub"), "n")
+    hot = store.save(hot.select("band", "cid").join(buckets, "band").select("band", "cid", "hub", "n"), "buckets")
 
     members = hot.select("cid").distinct().join(low.select("cid", "rep", "rep_h"), "cid").select("cid", F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"))
     members = store.save(members, "candidates")
