@@ -1,8 +1,10 @@
 """Corpus operators against brute force, and their defined cases."""
 
+import os
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,84 @@ def test_language(spark):
     assert langid.accept(df, m).columns == df.columns
 
 
+def brute_ppm(texts, alphabet, order, min_count, nodes, text):
+    """Bits of a text under one language's tree, byte by byte with dictionaries: escape to the next shorter context, bytes seen there ruled out."""
+    def pad(t):
+        return b"\n" * order + t.lower().encode()
+
+    n = {}
+    for t in map(pad, texts):
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                n.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    unseen = 256 - len(alphabet)
+
+    def p(ctx, x):
+        """Of every seen byte and of one unseen."""
+        if ctx is None:
+            return 1 / 256
+        shorter = p_all(ctx[1:] if ctx else None)
+        c = n.get(ctx)
+        if not c:
+            return shorter[x]
+        total, kinds = sum(c.values()), len(c)
+        if x in c:
+            return c[x] / (total + kinds)
+        return kinds / (total + kinds) * shorter[x] / sum(q for y, q in shorter.items() if y not in c)
+
+    cache = {}
+
+    def p_all(ctx):
+        if ctx not in cache:
+            if ctx is None:
+                cache[ctx] = {y: 1 / 256 for y in alphabet} | {"unseen": max(unseen, 1) / 256}
+                total = sum(cache[ctx].values())
+                cache[ctx] = {y: q / total for y, q in cache[ctx].items()}
+            else:
+                cache[ctx] = {y: p(ctx, y) for y in [*alphabet, "unseen"]}
+        return cache[ctx]
+
+    bits, t = 0.0, pad(text)
+    for i in range(order, len(t)):
+        ctx = b""
+        for k in range(1, order + 1):
+            if t[i - k : i] not in nodes:
+                break
+            ctx = t[i - k : i]
+        x = t[i] if t[i] in alphabet else "unseen"
+        bits -= np.log2(p_all(ctx)[x]) - (np.log2(max(unseen, 1)) if x == "unseen" else 0)
+    return bits
+
+
+def test_language_brute_force():
+    rng = random.Random(20)
+    texts = {"en": [prose(rng, 30) for _ in range(6)], "fr": [prose(rng, 30, "le la une été où garçon dans".split()) for _ in range(6)]}
+    order, min_count = 3, 4
+    m = langid.fit(texts, order, min_count)
+    alphabet = sorted({b for own in texts.values() for t in own for b in t.lower().encode()} | {10})
+    nodes = {b""}
+    for k in range(1, order + 1):
+        kept = set()
+        for own in texts.values():
+            c = Counter()
+            for t in own:
+                raw = b"\n" * order + t.lower().encode()
+                c.update(raw[i - k : i] for i in range(order, len(raw)))
+            kept |= {ctx for ctx, x in c.items() if x >= min_count}
+        nodes |= {ctx for ctx in kept if ctx[1:] in nodes}
+    tests = [prose(rng, 20), "où est le GARÇON", "\x01漢字 zz", "a"]
+    got = langid.code_lengths(m, *tx.flat(pa.array(tests)))
+    for k, t in enumerate(tests):
+        for j, lang in enumerate(m.langs):
+            assert abs(got[k, j] - brute_ppm(texts[lang], alphabet, order, min_count, nodes, t.lower() if t.isascii() else t.replace("GARÇON", "garçon"))) < 1e-3 * max(1, len(t))
+
+
+def test_language_ties(spark):
+    same = {"b": ["one two three"], "a": ["one two three"]}
+    r = langid.identify(docs(spark, ["one two"]), langid.fit(same, 2, 1)).first()
+    assert r.pred_lang == "a" and r.margin == 0
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     texts = [prose(rng, 30) + "\n" + f"Posted on day {k} by user {k * 7} in the forum\n" + prose(rng, 30) + "\n\nend" for k in range(12)]
@@ -328,6 +408,46 @@ def test_leaks(spark):
     assert decontaminate.leaks(odd(spark, "item_id"), bench).count() == 0
 
 
+def test_leaks_brute_force(spark):
+    """Every document aligned whole with every item; ids that are strings, repeated items and documents."""
+    rng = random.Random(19)
+    vocab = ["w%d" % k for k in range(400)]
+    items = [" ".join(rng.choice(vocab) for _ in range(rng.choice([2, 6, 15, 40]))) for _ in range(25)]
+    items += [items[3], "", "w1"]
+    texts = []
+    for k in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 120))]
+        if k % 2:
+            leak = rng.choice(items).split()
+            for _ in range(rng.randint(0, len(leak) // 6)):
+                leak[rng.randrange(len(leak))] = rng.choice(vocab)
+            at = rng.randint(0, len(w))
+            w[at:at] = leak
+        texts.append(" ".join(w))
+    texts.append(texts[1])
+    h = {w: k for k, w in enumerate(vocab)}
+    code = lambda t: np.array([h[w] for w in t.split()])
+    want = {}
+    for d, t in enumerate(texts):
+        for i, u in enumerate(items):
+            if u and t:
+                score = sw(code(t), code(u)) / (2 * len(u.split()))
+                if score >= 0.4:
+                    want[f"d{d}", f"i{i}"] = score
+    d = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    b = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(d, b).collect()}
+    # nothing is found that isn't there, and all that keeps two seeds (one of a short item) near each other is
+    assert all(abs(want[k] - s) < 1e-9 for k, s in got.items())
+    grams = lambda t, n: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)}
+    for (x, y), score in want.items():
+        t, u = texts[int(x[1:])], items[int(y[1:])]
+        shared = grams(t, min(3, len(u.split()))) & grams(u, min(3, len(u.split())))
+        if len(shared) >= 3 or (len(u.split()) < 6 and shared):
+            assert (x, y) in got
+    assert len(got) > 50
+
+
 def test_packing(spark):
     for seed in range(60):
         rng = random.Random(seed)
@@ -367,18 +487,34 @@ def test_tokens():
         assert ids[offs[k] : offs[k + 1]].tolist() == enc.plain.encode_ordinary(t or "")
 
 
-def test_shards(spark, tmp_path):
+def test_shards(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 50)) for _ in range(300)]
-    s = mphf.write_shards(docs(spark, texts, "segment"), path=str(tmp_path / "a"), keys_per_segment=64)
-    e = s.entries().toPandas()
-    assert sorted(e.doc_id) == list(range(300))
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in e.groupby("segment"))
-    r = s.reader()
-    assert all(tokens.encoder().decode(r.get(k)) == t for k, t in enumerate(texts)) and r.get(10**12) is None
+    for name, kind in (("a", "long"), ("n", "string")):
+        for run in (1024, 2):  # segments in one index file
+            monkeypatch.setattr(mphf, "SEGMENTS", run)
+            d = docs(spark, texts, "segment").withColumn("doc_id", F.col("doc_id").cast(kind))
+            s = mphf.write_shards(d, path=str(tmp_path / f"{name}{run}"), keys_per_segment=64)
+            e = s.entries().toPandas()
+            assert sorted(e.doc_id.astype(int)) == list(range(300)) and s.entries().schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+            assert all(sorted(g.slot) == list(range(len(g))) for _, g in e.groupby("segment"))
+            r = s.reader()
+            key = int if kind == "long" else str
+            assert all(tokens.encoder().decode(r.get(key(k))) == t for k, t in enumerate(texts)) and r.get(key(10**12)) is None
+            before = r.reads
+            r.get(key(5))
+            assert r.reads - before <= 4
+            monkeypatch.undo()
     s = mphf.write_shards(odd(spark, "slot"), path=str(tmp_path / "b"))
     assert sorted(s.entries().toPandas().doc_id) == [0, 1, 2, 3, 4, 5] and len(s.reader().get(0)) == 0
-    assert mphf.write_shards(empty(spark), path=str(tmp_path / "c")).entries().count() == 0
+    # of one key's texts the one with the most ids, of these the one whose ids hash lowest
+    many = spark.createDataFrame([(1, "a b"), (1, "a b c d"), (1, "d c b a"), (2, None), (2, "x")], "doc_id long, text string")
+    r = mphf.write_shards(many, path=str(tmp_path / "d")).reader()
+    ids = [np.array(tokens.encoder().plain.encode_ordinary(t), np.uint16) for t in ("a b c d", "d c b a")]
+    low = min(ids, key=lambda x: int(tx.hashes(x.view(np.uint8), np.array([0]), np.array([x.nbytes])).view(np.int64)[0]))
+    assert r.get(1).tolist() == low.tolist() and tokens.encoder().decode(r.get(2)) == "x"
+    none = mphf.write_shards(empty(spark), path=str(tmp_path / "c"))
+    assert none.entries().count() == 0 and none.reader().get(1) is None
 
 
 def test_topk(spark):
@@ -408,6 +544,24 @@ def test_licenses(spark):
     got = {(r.doc_id, r.unit, r.license, r.n) for r in licenses.scan(docs(spark, texts, "license")).collect()}
     assert got == {(0, "text", "MIT", 1), (1, "paragraph", "MIT-notice", 1), (1, "line", "MIT-notice", 1), (6, "text", "MIT-notice", 1), (6, "paragraph", "MIT-notice", 1), (6, "line", "MIT-notice", 1), (7, "line", "MIT-notice", 2)}
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(odd(spark, "digest")).count() == 0
+    # of equal canonical texts the first by name; a null id is kept
+    twice = {"B": "Some license text.", "A": "some LICENCE text"}
+    null = spark.createDataFrame([(None, "Some license text")], "doc_id long, text string")
+    assert {(r.doc_id, r.unit, r.license) for r in licenses.scan(null, twice).collect()} == {(None, u, "A") for u in ("text", "paragraph", "line")}
+    # long texts by digest, where this machine has them
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    here = [(k, open(f"{folder}/{f}").read()) for k, f in enumerate(names) if os.path.exists(f"{folder}/{f}")]
+    if here:
+        long = spark.createDataFrame([(k, t.upper().replace("\n", "\r\n")) for k, t in here], "doc_id long, text string")
+        assert {(r.doc_id, r.license) for r in licenses.scan(long).where("unit = 'text'").collect()} == {(k, list(names.values())[k]) for k, _ in here}
+        assert all(licenses.whole_digest(t) == licenses.DIGESTS[list(names.values())[k]] for k, t in here)
+
+
+@pytest.mark.parametrize("name", ["BSD-3-Clause", "BSD-2-Clause with title", "MIT without title", "Unlicense", "GPL-3.0-header", "ISC without title"])
+def test_licenses_whole(spark, name):
+    text = licenses.KNOWN[name].replace("<year> <holder>", "1999-2024, An Owner").replace(" and ", "  AND\n").replace("http:", "https:")
+    assert [(r.license, r.n) for r in licenses.scan(docs(spark, [text])).where("unit = 'text'").collect()] == [(name, 1)]
 
 
 def test_html(spark):
@@ -426,6 +580,82 @@ def test_html(spark):
     assert hits / len(rows) > 0.85
 
 
+class Plain(HTMLParser):
+    """Blocks of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.parts, self.linked, self.link, self.skip = [], [], 0, False, None
+
+    def close_block(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            n = len(text.split(" "))
+            self.found.append((text, n, min(self.linked, n)))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs, end=False):
+        if tag in ("script", "style", "template", "noscript", "head", "title"):
+            if tag in ("head", "title"):
+                self.close_block()
+            self.skip = self.skip or tag
+        elif tag == "body":
+            self.close_block()
+            self.skip = None
+        elif tag == "a":
+            self.link = not end
+        elif tag not in html._INLINE:
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        if self.skip == tag:
+            self.skip = None
+        elif not self.skip:
+            self.handle_starttag(tag, [], True)
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+            self.linked += len(data.split()) if self.link else 0
+
+
+def plain_extract(page):
+    p = Plain()
+    p.feed(page)
+    p.close()
+    p.close_block()
+    rows, kept = [(n, k / n) for _, n, k in p.found], []
+    for i, own in enumerate(rows):
+        x = (*own, *(rows[i - 1] if i else (0, 0)), *(rows[i + 1] if i + 1 < len(rows) else (0, 0)))
+        node = html.tree(html.LABELLED)
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        if node >= 0.5:
+            kept.append(p.found[i][0])
+    return "\n".join(kept), len(rows)
+
+
+def test_html_brute_force(spark, monkeypatch):
+    """Whole pages as a plain parser and a walk down the tree have them."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model = html.tree(html.LABELLED)
+    monkeypatch.setattr(html, "tree", lambda *a: model)
+    got = {r.page_id: (r.text, r.n_blocks) for r in html.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) and sum(got[r.page_id] == plain_extract(r.html) for r in rows) == len(rows)
+    # lines that end a page with a copyright sign aren't content
+    ends = [html.blocks(r.html)[-1][0] for r in rows]
+    assert sum(e.startswith("©") and e in got[r.page_id][0] for e, r in zip(ends, rows)) <= 0.05 * len(rows)
+
+
+def test_html_long_and_ties(spark):
+    page = "<p>" + "word " * 300000 + "</p>" + "<p><a href=x>link</a></p>" * 2000
+    r = html.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert r.text == ("word " * 300000).strip() and (r.n_blocks, r.n_content) == (2001, 1)
+    even = html.tree([(1, 0.0, 0, 0.0, 0, 0.0, 0), (1, 0.0, 0, 0.0, 0, 0.0, 1)])
+    assert even == 0.5 and html.classify(even, np.zeros((1, 6))).tolist() == [True]
+
+
 def brute_score(m, v, ids):
     """One document word by word with the plain formulas."""
     sig = lambda x: 1 / (1 + np.exp(-x))
@@ -512,10 +742,15 @@ def test_language_model_trains_on_all(spark):
     head = prose(rng, 100)
     texts = [head + " " + prose(rng, 20) for _ in range(16)]
     # documents with equal heads aren't in or out together, and every one is in one round
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    v = lm.vocabulary(docs(spark, texts), 32, 4)
-    n = [len(lm._ids(batch, v, lo, hi)[0]) for lo, hi in ((0, 1 << 31), (1 << 31, 1 << 32), (0, 1 << 32))]
-    assert n[0] > 0 and n[1] > 0 and n[0] + n[1] == n[2]
+    d = docs(spark, texts)
+    n = [{r.doc_id for r in d.where(lm.of_round(F.col("text"), k, 2)).collect()} for k in (0, 1)]
+    assert n[0] and n[1] and n[0] | n[1] == set(range(16)) and not n[0] & n[1]
+    # and the streams that it trains on hold all its words
+    ids, offs = np.arange(1, 41), np.array([0, 3, 3, 20, 21, 40])
+    for lanes in (1, 3, 9):
+        seq, first, size = lm._streams(ids, offs, lanes)
+        got = [part for f, n in zip(first, size) for part in re.findall(r"[^|]+", "".join("|" if x == lm.END else chr(x) for x in seq[f : f + n]))]
+        assert sorted(got) == sorted("".join(chr(x) for x in ids[a:b]) for a, b in zip(offs, offs[1:]) if b > a) and list(size) == sorted(size, reverse=True)
     # a few documents do train the model, even one alone
     for some in (texts, texts[:1]):
         m, _ = lm.fit(docs(spark, some), width=8, size=32, classes=4)
@@ -528,7 +763,7 @@ def test_language_model_learns(spark):
     held, rest = d.where("doc_id % 10 = 0"), d.where("doc_id % 10 <> 0")
     m, v = lm.fit(rest)
     bits = []
-    for model in (m, lm.start(v, 24) | {"S": m["S"]}):
+    for model in (m, lm.start(v, 16) | {"S": m["S"]}):
         r = lm.log_likelihood(held, {k: a for k, a in model.items() if k != "S"}, v).agg(F.sum("log_likelihood"), F.sum("n_words")).first()
         bits.append(-r[0] / r[1])
     assert bits[0] < 0.98 * bits[1]
@@ -539,15 +774,17 @@ def test_recurrent_gradient():
     v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.array([0, 2, 5]), np.array([0, 0, 1, 1, 1]), np.ones(5))
     rng = np.random.default_rng(1)
     m = {k: (rng.normal(size=a.shape) * 0.5).astype(np.float64) for k, a in lm.start(v, 3).items()}
-    ids, offs = np.array([2, 3, 4, 1, 2, 3, 3, 4, 2, 2, 1, 4]), np.array([0, 7, 12])
-    (rows, first, size), = lm._groups(ids, offs, 4)
-    _, x, y, ok = lm._window(ids, first, size, 0, 16)
+    # two documents in the first lane, with a state from before
+    y = np.array([[2, 3], [3, 4], [4, 1], [0, 2], [3, 3], [3, 0], [0, 0]])
+    x = np.concatenate([[[4, 0]], y[:-1]])
+    ok = np.array([[True, t < 6] for t in range(7)])
     h = rng.normal(size=(2, 3))
     grad, used, _ = lm.gradients(m, v, h, x, y, ok)
 
     def loss():
         state, total = h, 0.0
         for j in range(len(x)):
+            state = state * (x[j] != lm.END)[:, None]
             state = lm._cell(m["E"][x[j]] @ m["W"] + m["b"], state, m["U"])[0]
             total -= lm._softmax(m, v, state[ok[j]], y[j][ok[j]])[0].sum()
         return total

@@ -29,11 +29,12 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -260,18 +261,20 @@ def score(m: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarray, window: int
 def gradients(m: dict, v: Vocabulary, h: np.ndarray, x: np.ndarray, y: np.ndarray, ok: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
     """Gradients of minus the log-likelihood of a window (time by lane), the ids whose rows of ``E`` they have, and the state after it."""
     k, n, kind = h.shape[1], len(x), h.dtype
+    keep = (x != END).astype(kind)[:, :, None]  # a document starts from no state
     used, inv = np.unique(x, return_inverse=True)
     inv = inv.reshape(-1)
     px = (m["E"][used] @ m["W"] + m["b"])[inv].reshape(*x.shape, 3 * k)
-    hs, gate = np.empty((n + 1, len(h), k), kind), np.empty((n, len(h), 2 * k), kind)
+    hs, prev, gate = np.empty((n + 1, len(h), k), kind), np.empty((n, len(h), k), kind), np.empty((n, len(h), 2 * k), kind)
     cand, un = np.empty((n, len(h), k), kind), np.empty((n, len(h), k), kind)
     hs[0] = h
     for j in range(n):
-        u = hs[j] @ m["U"]
+        np.multiply(hs[j], keep[j], out=prev[j])
+        u = prev[j] @ m["U"]
         gate[j] = _sigmoid(px[j, :, : 2 * k] + u[:, : 2 * k])
         un[j] = u[:, 2 * k :]
         np.tanh(px[j, :, 2 * k :] + gate[j, :, :k] * un[j], out=cand[j])
-        hs[j + 1] = cand[j] + gate[j, :, k:] * (hs[j] - cand[j])
+        hs[j + 1] = cand[j] + gate[j, :, k:] * (prev[j] - cand[j])
     grad = {"O": np.zeros_like(m["O"]), "o": np.zeros_like(m["o"])}
     whole = bool(ok.all())
     _, dh = _softmax(m, v, hs[1:].reshape(-1, k) if whole else hs[1:][ok], y.reshape(-1) if whole else y[ok], grad, _tame(m))
@@ -281,7 +284,7 @@ def gradients(m: dict, v: Vocabulary, h: np.ndarray, x: np.ndarray, y: np.ndarra
         flat = np.zeros((n, len(h), k), kind)
         flat[ok] = dh
     r, z = gate[:, :, :k], gate[:, :, k:]
-    to_c, to_z, to_r = (1 - z) * (1 - cand * cand), (hs[:-1] - cand) * z * (1 - z), un * r * (1 - r)
+    to_c, to_z, to_r = (1 - z) * (1 - cand * cand), (prev - cand) * z * (1 - z), un * r * (1 - r)
     dpx, du, back = np.empty((n, len(h), 3 * k), kind), np.empty((n, len(h), 3 * k), kind), np.zeros((len(h), k), kind)
     turned = np.ascontiguousarray(m["U"].T)
     for j in range(n - 1, -1, -1):
@@ -296,44 +299,62 @@ def gradients(m: dict, v: Vocabulary, h: np.ndarray, x: np.ndarray, y: np.ndarra
         d *= z[j]
         back = q @ turned
         back += d
+        back *= keep[j]
     order = np.argsort(inv, kind="stable")
     dp = np.add.reduceat(dpx.reshape(-1, 3 * k)[order], np.searchsorted(inv[order], np.arange(len(used))), axis=0)
-    grad |= {"U": hs[:-1].reshape(-1, k).T @ du.reshape(-1, 3 * k), "W": m["E"][used].T @ dp, "b": dp.sum(0), "E": dp @ m["W"].T}
+    grad |= {"U": prev.reshape(-1, k).T @ du.reshape(-1, 3 * k), "W": m["E"][used].T @ dp, "b": dp.sum(0), "E": dp @ m["W"].T}
     return grad, used, hs[n]
 
 
-def train(m: dict, memory: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarray, rate: float = 0.2, window: int = 16, lanes: int = 192) -> int:
-    """One pass of truncated back-propagation over the documents, in place (Adagrad); returns the words seen."""
-    k, seen = m["U"].shape[0], 0
-    for rows, first, size in _groups(ids, offs, lanes):
-        h = np.zeros((len(rows), k), _F)
-        for t in range(0, int(size[0]), window):
-            live, x, y, ok = _window(ids, first, size, t, window)
-            grad, used, h = gradients(m, v, h[:live], x, y, ok)
-            seen += int(ok.sum())
-            for name, g in grad.items():
-                at = used if name == "E" else slice(None)
-                g *= _F(1 / lanes)  # not by the lanes alive: the last of a long document aren't worth as much as all
-                if name in "WUb":
-                    np.clip(g, -1, 1, out=g)
-                memory[name][at] += g * g
-                m[name][at] -= rate * g / np.sqrt(memory[name][at])
-    return seen
+def _streams(ids: np.ndarray, offs: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents, each followed by END, one after another in up to ``lanes`` streams of about one length: targets, and each stream's start and size, longest first."""
+    n = np.diff(offs)
+    load = [(0, k) for k in range(min(lanes, int((n > 0).sum())))]
+    held: list[list[int]] = [[] for _ in load]
+    for row in np.argsort(-n, kind="stable")[: int((n > 0).sum())].tolist():
+        words, k = load[0]
+        held[k].append(row)
+        heapq.heapreplace(load, (words + int(n[row]) + 1, k))
+    held = [held[k] for _, k in sorted(load, key=lambda x: (-x[0], x[1]))]
+    rows = np.array([r for own in held for r in own], np.int64)
+    size = np.array([sum(int(n[r]) + 1 for r in own) for own in held], np.int64)
+    at = np.cumsum(n[rows] + 1)
+    seq = np.full(int(at[-1]) if len(rows) else 0, END, ids.dtype)
+    begin = at - n[rows] - 1
+    pos, first = tx.spans(offs[rows], offs[rows + 1])
+    seq[np.arange(len(pos)) + np.repeat(begin - first, n[rows])] = ids[pos]
+    return seq, np.cumsum(size) - size, size
 
 
-def _ids(batch, v: Vocabulary, low: int = 0, high: int = 1 << 32, unknown=None) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of a batch's texts whose hash's top 32 bits are in [low, high), and their offsets by row.
+def train(m: dict, memory: dict, v: Vocabulary, ids: np.ndarray, offs: np.ndarray, rate: float = 0.2, window: int = 16, lanes: int = 192) -> int:
+    """One pass of truncated back-propagation over the documents, in place (Adagrad); returns the words seen."""
+    seq, first, size = _streams(ids, offs, lanes)
+    h = np.zeros((len(size), m["U"].shape[0]), _F)
+    for t in range(0, int(size.max(initial=0)), window):
+        live = int(np.searchsorted(-size, -t, "left"))
+        at = t + np.arange(min(window, int(size[0]) - t))[:, None]
+        ok = at < size[None, :live]
+        at = np.minimum(first[:live] + at, len(seq) - 1)
+        x = np.where(at > first[:live], seq[at - 1], END)
+        grad, used, h = gradients(m, v, h[:live], x, seq[at], ok)
+        for name, g in grad.items():
+            to = used if name == "E" else slice(None)
+            g *= _F(1 / lanes)  # not by the lanes alive: the last of a long document aren't worth as much as all
+            if name in "WUb":
+                np.clip(g, -1, 1, out=g)
+            memory[name][to] += g * g
+            m[name][to] -= rate * g / np.sqrt(memory[name][to])
+    return len(seq)
+
+
+def _ids(batch, v: Vocabulary, unknown=None) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids of a batch's texts, and their offsets by row.
 
     ``unknown`` is called with (folded bytes, starts, ends, rows) of the words outside the vocabulary.
     """
     ids, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for part in tx.slices(iter([batch]), "text"):
         data, offs = tx.flat(part.column("text"))
-        if low > 0 or high < 1 << 32:
-            full = np.flatnonzero(np.diff(offs) > 0)
-            top = tx.hashes(data, offs[full], offs[full + 1]) >> np.uint64(32)
-            part = part.take(pa.array(full[(top >= low) & (top < high)]))
-            data, offs = tx.flat(part.column("text"))
         buf = tx.fold(data)
         s, e, row = tx.words(buf, offs)
         now = v.encode(tx.hashes(buf, s, e))
@@ -357,7 +378,12 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, rounds: int = 2, rate: float = 0.2) -> tuple[dict, Vocabulary]:
+def of_round(text: Column, k: int, rounds: int) -> Column:
+    """Whether a text trains in round k of ``rounds``, by a hash of all of it."""
+    return F.pmod(F.xxhash64(text), F.lit(rounds)) == k
+
+
+def fit(docs: DataFrame, width: int = 16, size: int = 4096, classes: int = 64, rounds: int = 2, rate: float = 0.2) -> tuple[dict, Vocabulary]:
     """A model of the documents: every document trains in one of ``rounds`` rounds, after each of which the tasks' models are averaged.
 
     Its entry ``S`` has the log-probabilities of ``spelling``.
@@ -367,10 +393,9 @@ def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, r
     sc = docs.sparkSession.sparkContext
     codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(rounds):
-        low, high = ((k + j << 32) // rounds for j in (0, 1))
         held = sc.broadcast((m, v))
 
-        def work(batches, held=held, low=low, high=high):
+        def work(batches, held=held):
             model, voc = held.value
             model, seen = {n: a.copy() for n, a in model.items()}, 0
             memory = {n: np.full_like(a, 0.01) for n, a in model.items()}
@@ -378,10 +403,10 @@ def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, r
 
             def unknown(buf, s, e, row):
                 if len(s):
-                    np.add(spelled, np.bincount(_spelled(buf, s, e)[0], minlength=SYMBOLS**3), out=spelled)
+                    np.add.at(spelled, _spelled(buf, s, e)[0], 1)
 
             for b in batches:
-                ids, offs = _ids(b, voc, low, high, unknown)
+                ids, offs = _ids(b, voc, unknown)
                 seen += train(model, memory, voc, ids, offs, rate)
             kinds = ["part", "block", "seen", "data", "code", "n"]
             if seen:
@@ -411,7 +436,7 @@ def fit(docs: DataFrame, width: int = 24, size: int = 4096, classes: int = 64, r
                 for j, a in rows:
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([j], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["part", "block", "data"])
 
-        trained = docs.select("text").mapInArrow(work, "part int, block int, seen long, data binary, code binary, n binary")
+        trained = docs.select("text").where(of_round(F.col("text"), k, rounds)).mapInArrow(work, "part int, block int, seen long, data binary, code binary, n binary")
         got = trained.repartition("part", "block").mapInArrow(mean, "part int, block int, data binary").toArrow().sort_by([("part", "ascending"), ("block", "ascending")]).to_pylist()
         blocks = [np.frombuffer(r["data"], _F) for r in got if r["part"] == 0]
         if blocks:
