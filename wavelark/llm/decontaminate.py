@@ -15,10 +15,11 @@ The benchmark is sent to all tasks, ``most`` items at a time; a larger one
 takes several passes with the same result. Documents never move.
 
 Defined cases: a null, empty or wordless text matches nothing; so does an
-item without words or with a null id; an item of fewer than n words is one
-n-gram of its own length; repeated items are scored one by one and repeated
-documents too; of equal alignments the first in the document counts; without
-documents or items the result is empty; other columns are ignored.
+item without words or with a null id; ids may be of any type and keep it; an
+item of fewer than n words is one n-gram of its own length; repeated items
+and documents are scored one by one (a row for each pair); of equal
+alignments of a pair one counts; without documents or items the result is
+empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ MATCH, MISS, GAP = 2, -1, -1
 class Items:
     """Words and n-grams of benchmark items (``gram`` sorted, with ``item`` and first word ``at`` of each)."""
 
-    def __init__(self, ids: list, texts: list[str], n: int):
-        data, offs = tx.flat(pa.array(texts, pa.large_string()))
+    def __init__(self, ids: pa.Array, texts: pa.Array, n: int):
+        data, offs = tx.flat(texts)
         buf = tx.fold(data)
         s, e, row = tx.words(buf, offs)
         h = tx.hashes(buf, s, e)
@@ -63,10 +64,12 @@ class Items:
     def seeds(self, docs_with: np.ndarray, limit: float) -> None:
         """Keep the rare n-grams only, given each distinct n-gram's document frequency."""
         freq = docs_with[np.searchsorted(self.distinct, self.gram)]
-        middle = np.zeros(len(self.ids))
-        for k in range(len(self.ids)):
-            own = freq[self.item == k]
-            middle[k] = np.quantile(own, 0.5) if len(own) else 0
+        order = np.lexsort((freq, self.item))
+        cut = tx.bounds(self.item[order], len(self.ids))
+        size = np.diff(cut)
+        middle, some = np.zeros(len(self.ids)), size > 0
+        ranked = freq[order]
+        middle[some] = (ranked[(cut[:-1] + (size - 1) // 2)[some]] + ranked[(cut[:-1] + size // 2)[some]]) / 2
         keep = (freq <= limit) | (freq <= middle[self.item])
         self.gram, self.item, self.at, self.width = self.gram[keep], self.item[keep], self.at[keep], self.width[keep]
         self.distinct = np.unique(self.gram)
@@ -186,28 +189,28 @@ def _aligned(batches, items: Items, least: float):
                     best[r, i] = x
         if best:
             keys = sorted(best)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([r for r, _ in keys])), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([best[k] for k in keys])], names=["doc_id", "item_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([r for r, _ in keys])), items.ids.take(pa.array([i for _, i in keys])), pa.array([best[k] for k in keys])], names=["doc_id", "item_id", "score"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.0005, least: float = 0.4, most: int = 50_000) -> DataFrame:
     """Rows (doc_id, item_id, score) for every document that holds a copy of an item with a score of at least ``least``."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
     docs = docs.select("doc_id", "text")
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     n_docs, out = docs.count(), None
     passes = max(1, -(-items.count() // most))
     for k in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        rows = sorted(rows.collect())
-        part = Items([r.item_id for r in rows], [r.text for r in rows], n)
+        rows = rows.toArrow().combine_chunks()
+        part = Items(*(rows.column(c).combine_chunks() for c in ("item_id", "text")), n)
         held = spark.sparkContext.broadcast(part)
         freq = np.zeros(len(part.distinct), np.int64)
-        for r in docs.select("text").mapInArrow(lambda b, held=held: _frequency(b, held.value), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            freq[r.gram] = r.n
+        found = docs.select("text").mapInArrow(lambda b, held=held: _frequency(b, held.value), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        freq[found.column("gram").to_numpy()] = found.column("n").to_numpy()
         part.seeds(freq, max(20, rare * n_docs))
         seeded = spark.sparkContext.broadcast(part)
-        found = docs.mapInArrow(lambda b, held=seeded: _aligned(b, held.value, least), f"doc_id {kind}, item_id long, score double")
+        found = docs.mapInArrow(lambda b, held=seeded: _aligned(b, held.value, least), f"doc_id {kind}, item_id {item_kind}, score double")
         out = found if out is None else out.unionByName(found)
     return out
 
