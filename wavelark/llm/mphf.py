@@ -6,18 +6,25 @@ of its own; only the index entries (key, shard, offset, number of ids) are
 shuffled, to segments by a hash of the key. In each segment a minimal perfect
 hash is built by pilots: keys fall into small buckets, and bucket by bucket,
 largest first, the lowest pilot is found that sends its keys to free slots.
-A slot holds a fingerprint of its key, so that a lookup (two hashes, one
-pilot, one slot, one read) also tells that a key is absent.
+A slot holds a fingerprint of its key, so a lookup also tells that a key is
+absent.
 
-Shard files are named by task and attempt, and the entries name the file
-they belong to: a repeated or speculative task leaves at worst a file that
-nothing points to. The entries are written to the shared folder before the
-index is built.
+The index is binary too. Up to SEGMENTS consecutive segments make up a file: a
+table of their places, then for each its pilots and its slots (fingerprint,
+shard, offset, number of ids), all of fixed width. A lookup hashes the key
+and reads, by position, one place, one pilot, one slot and the ids: a
+constant number of reads however many keys there are, and no Spark job.
+
+Files are named by task and attempt, and the entries (a table in the shared
+folder, written before the index is built) name the file they belong to: a
+repeated or speculative task leaves at worst a file that nothing points to.
 
 Defined cases: a null or empty text is an entry of no ids; a row with a null
-key has no entry; of rows with one key the index keeps that with the most
-ids, of these the one whose ids hash lowest; an empty table has an index of
-no segments; other columns are ignored.
+key has no entry; keys are integers or strings and keep their type; of rows
+with one key the index keeps that with the most ids, of these the one whose
+ids hash lowest; two strings of one 64-bit hash are an error (``seed``
+changes it); an empty table has an index of no segments; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +45,26 @@ from . import text as tx
 
 KEYS_PER_SEGMENT = 2048
 KEYS_PER_BUCKET = 4
-ENTRIES = "doc_id long, segment int, shard string, offset long, n_ids int, digest long"
-INDEX = "segment int, n int, doc_ids array<long>, pilots array<int>, fingerprints array<int>, shards array<string>, offsets array<long>, counts array<int>"
+SEGMENTS = 1024
+PLACE = np.dtype([("at", "<u8"), ("n", "<u8")])
+ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n_ids", "<u8")])
 _SLOT = np.uint64(0x9FB21C651E98DF25)
 
 
-def key_hash(keys: np.ndarray) -> np.ndarray:
-    return tx.mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+def key_hash(keys: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of integer or string keys; those of integers all differ."""
+    salt = np.uint64(0x2545F4914F6CDD1D) + np.uint64(seed) * _SLOT
+    if pa.types.is_integer(keys.type):
+        return tx.mix(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + salt)
+    data, offs = tx.flat(keys)
+    out = np.zeros(len(keys), np.uint64)
+    full = np.flatnonzero(np.diff(offs) > 0)
+    out[full] = tx.hashes(data, offs[full], offs[full + 1])
+    return tx.mix(out + salt)
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(max(segments, 1))).astype(np.int32)
+    return ((h >> np.uint64(20)) % np.uint64(max(segments, 1))).astype(np.int64)
 
 
 def fingerprint(h: np.ndarray) -> np.ndarray:
@@ -93,7 +110,7 @@ def build(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pilots, out
 
 
-def _shards(batches, base: str, vocabulary: str, segments: int):
+def _shards(batches, base: str, vocabulary: str, segments: int, seed: int):
     enc = tokens.encoder(vocabulary)
     task = TaskContext.get()
     name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
@@ -103,7 +120,7 @@ def _shards(batches, base: str, vocabulary: str, segments: int):
         for b in tx.slices(batches, "text"):
             key = b.column("doc_id")
             ids, offs = enc.encode(*tx.flat(b.column("text")))
-            h = key_hash(key.to_numpy(zero_copy_only=False))
+            h = key_hash(key, seed)
             full = np.flatnonzero(np.diff(offs) > 0)
             digest = np.zeros(len(key), np.uint64)
             if len(full):
@@ -120,86 +137,134 @@ def _shards(batches, base: str, vocabulary: str, segments: int):
             out.close()
 
 
-def _segments(batches):
-    def done(t: pa.Table):
-        key = t.column("doc_id").to_numpy()
-        n_ids, digest = t.column("n_ids").to_numpy(), t.column("digest").to_numpy()
-        at = np.lexsort((digest, -n_ids, key))
-        first = np.ones(len(at), bool)
-        first[1:] = key[at][1:] != key[at][:-1]
-        at = at[first]
-        h = key_hash(key[at])
-        pilots, s = build(h)
-        rows = np.empty(len(at), np.int64)
-        rows[s] = at
-        t = t.take(pa.array(rows))
-        prints = np.empty(len(at), np.int32)
-        prints[s] = fingerprint(h)
-        cols = [t.column("doc_id"), pilots, prints, t.column("shard"), t.column("offset"), t.column("n_ids")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c)) for c in cols]
-        lists = [x if x.type.value_type == k else x.cast(pa.list_(k)) for x, k in zip(lists, kinds)]
-        return pa.RecordBatch.from_arrays([t.column("segment").combine_chunks()[:1].cast(pa.int32()), pa.array([len(at)], pa.int32()), *lists], names=[f.strip().split()[0] for f in INDEX.split(",")])
-
+def _segment(t: pa.Table, seed: int, shards: dict[str, int]) -> tuple[bytes, int, pa.RecordBatch]:
+    """A segment's part of the index file, its number of keys, and rows of them by slot."""
+    n_ids, digest = t.column("n_ids").to_numpy(), t.column("digest").to_numpy()
+    key = pc.rank(t.column("doc_id"), "ascending", tiebreaker="dense").to_numpy()
+    at = np.lexsort((digest, -n_ids, key))
+    first = np.ones(len(at), bool)
+    first[1:] = key[at][1:] != key[at][:-1]
+    t = t.take(pa.array(at[first]))
+    h = key_hash(t.column("doc_id").combine_chunks(), seed)
+    if len(np.unique(h)) < len(h):
+        raise ValueError("two keys have one hash: choose another seed")
+    pilots, s = build(h)
+    rows = np.empty(len(h), np.int64)
+    rows[s] = np.arange(len(h))
+    t = t.take(pa.array(rows))
+    entry = np.zeros(len(h), ENTRY)
+    entry["print"] = fingerprint(h)[rows]
+    entry["shard"] = [shards[x] for x in t.column("shard").to_pylist()]
+    entry["offset"], entry["n_ids"] = t.column("offset").to_numpy(), t.column("n_ids").to_numpy()
+    cols = [t.column("doc_id"), t.column("segment"), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(entry["print"].astype(np.int32)), t.column("shard"), t.column("offset"), t.column("n_ids")]
+    batch = pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=["doc_id", "segment", "slot", "fingerprint", "shard", "offset", "n_ids"])
+    return pilots.astype("<i4").tobytes() + entry.tobytes(), len(h), batch
+
+
+def _indexed(batches, base: str, seed: int, shards: dict[str, int], length: int):
+    """Writes an index file for every run of ``length`` segments in rows sorted by segment, which may span batches; yields the rows of their keys."""
+    system, path = fs.FileSystem.from_uri(base)
+    attempt = TaskContext.get().taskAttemptId()
     held: list[pa.RecordBatch] = []
+    parts: dict[int, tuple[bytes, int]] = {}
+    rows: list[pa.RecordBatch] = []
+    run = -1
+
+    def close():
+        at, out = length * PLACE.itemsize, []
+        table = np.zeros(length, PLACE)
+        for seg, (raw, n) in sorted(parts.items()):
+            table[seg % length] = at, n
+            out.append(raw)
+            at += len(raw)
+        name = f"index-{run:06d}-{attempt}.bin"
+        with system.open_output_stream(f"{path}/{name}") as f:
+            f.write(table.tobytes() + b"".join(out))
+        for b in rows:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([name] * b.num_rows)], names=[*b.schema.names, "file"])
+        parts.clear()
+        rows.clear()
+
+    def done():
+        raw, n, batch = _segment(pa.Table.from_batches(held).combine_chunks(), seed, shards)
+        parts[held[0].column("segment")[0].as_py()] = raw, n
+        rows.append(batch)
+
     for b in batches:
         seg = b.column("segment").to_numpy(zero_copy_only=False)
         cut = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
         for lo, hi in zip(cut, cut[1:]):
-            part = b.slice(lo, hi - lo)
-            if held and part.num_rows and held[-1].column("segment")[0] != part.column("segment")[0]:
-                yield done(pa.Table.from_batches(held))
+            if hi == lo:
+                continue
+            if held and held[-1].column("segment")[0].as_py() != seg[lo]:
+                done()
                 held = []
-            if part.num_rows:
-                held.append(part)
+            if parts and seg[lo] // length != run:
+                yield from close()
+            run = int(seg[lo]) // length
+            held.append(b.slice(lo, hi - lo))
     if held:
-        yield done(pa.Table.from_batches(held))
+        done()
+        yield from close()
 
 
 @dataclass
 class Shards:
     path: str
     segments: int
+    length: int
     width: int
+    seed: int
+    names: list[str]
     index: DataFrame
 
     def entries(self) -> DataFrame:
         """Rows (doc_id, segment, slot, fingerprint, shard, offset, n_ids), one a key."""
-        rows = self.index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "fingerprints", "shards", "offsets", "counts")).alias("slot", "e"))
-        return rows.select(F.col("e.doc_ids").alias("doc_id"), "segment", "slot", F.col("e.fingerprints").alias("fingerprint"), F.col("e.shards").alias("shard"), F.col("e.offsets").alias("offset"), F.col("e.counts").alias("n_ids"))
+        return self.index.drop("file")
 
     def reader(self) -> Reader:
-        return Reader(self)
+        files = {int(r.file.split("-")[1]): r.file for r in self.index.select("file").distinct().collect()}
+        return Reader(self.path, self.segments, self.length, self.width, self.seed, self.names, files)
 
 
 class Reader:
-    """Keyed access: loads a segment's index once, then each lookup is one slot and one read."""
-
-    def __init__(self, shards: Shards):
-        self.shards, self.kept = shards, {}
-        self.fs, self.path = fs.FileSystem.from_uri(shards.path)
-
-    def get(self, key: int) -> np.ndarray | None:
+    """Keyed access by positional reads; needs no Spark. Up to ``most`` files stay open."""
+
+    def __init__(self, path: str, segments: int, length: int, width: int, seed: int, names: list[str], files: dict[int, str], most: int = 64):
+        self.segments, self.length, self.width, self.seed, self.names, self.files, self.most = segments, length, width, seed, names, files, most
+        self.fs, self.path = fs.FileSystem.from_uri(path)
+        self.open: dict = {}
+        self.reads = 0
+
+    def _read(self, name: str, at: int, size: int) -> bytes:
+        if name not in self.open:
+            if len(self.open) >= self.most:
+                self.open.pop(next(iter(self.open))).close()
+            self.open[name] = self.fs.open_input_file(f"{self.path}/{name}")
+        self.reads += 1
+        return self.open[name].read_at(size, at)
+
+    def get(self, key: int | str) -> np.ndarray | None:
         """The document's ids, or None if its fingerprint isn't in the index."""
-        h = key_hash(np.array([key]))
-        seg = int(segment_of(h, self.shards.segments)[0])
-        if seg not in self.kept:
-            rows = self.shards.index.where(F.col("segment") == seg).collect()
-            self.kept[seg] = rows[0] if rows else None
-        x = self.kept[seg]
-        if x is None:
+        h = key_hash(pa.array([key]), self.seed)
+        seg = int(segment_of(h, self.segments)[0])
+        file = self.files.get(seg // self.length)
+        if file is None:
+            return None
+        at, n = np.frombuffer(self._read(file, seg % self.length * PLACE.itemsize, PLACE.itemsize), PLACE)[0]
+        if n == 0:
             return None
-        s = int(slot(h, np.array([x.pilots[int(_bucket(h, x.n)[0])]]), x.n)[0])
-        if x.fingerprints[s] != int(fingerprint(h)[0]):
+        pilots = max(1, -(-int(n) // KEYS_PER_BUCKET))
+        pilot = np.frombuffer(self._read(file, int(at) + 4 * int(_bucket(h, int(n))[0]), 4), "<i4")
+        s = int(slot(h, pilot, int(n))[0])
+        e = np.frombuffer(self._read(file, int(at) + 4 * pilots + s * ENTRY.itemsize, ENTRY.itemsize), ENTRY)[0]
+        if int(e["print"]) != int(fingerprint(h)[0]):
             return None
-        kind = np.uint16 if self.shards.width == 2 else np.uint32
-        if x.counts[s] == 0:
-            return np.zeros(0, kind)
-        with self.fs.open_input_file(f"{self.path}/{x.shards[s]}") as f:
-            return np.frombuffer(f.read_at(x.counts[s] * self.shards.width, x.offsets[s]), kind)
+        kind = "<u2" if self.width == 2 else "<u4"
+        return np.frombuffer(self._read(self.names[e["shard"]], int(e["offset"]), int(e["n_ids"]) * self.width), kind) if e["n_ids"] else np.zeros(0, kind)
 
 
-def write_shards(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, path: str | None = None, keys_per_segment: int = KEYS_PER_SEGMENT) -> Shards:
+def write_shards(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, path: str | None = None, keys_per_segment: int = KEYS_PER_SEGMENT, seed: int = 0) -> Shards:
     """Write the ids of all documents to shards under ``path`` (default: a new folder in the shared one) and index them."""
     spark: SparkSession = docs.sparkSession
     path = path or f"{store.shared_dir(spark)}/wavelark/ids-{uuid.uuid4().hex}"
@@ -207,9 +272,17 @@ def write_shards(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, path: str
         path = f"file://{path}"
     system, folder = fs.FileSystem.from_uri(path)
     system.create_dir(folder, recursive=True)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     segments = -(-docs.count() // keys_per_segment)
-    entries = store.save(docs.mapInArrow(lambda b: _shards(b, path, vocabulary, segments), ENTRIES), "entries")
-    index = store.save(entries.repartition("segment").sortWithinPartitions("segment").mapInArrow(_segments, INDEX), "index")
+    schema = f"doc_id {kind}, segment long, shard string, offset long, n_ids int, digest long"
+    entries = store.save(docs.mapInArrow(lambda b: _shards(b, path, vocabulary, segments, seed), schema), "entries")
+    names = sorted(r[0] for r in entries.select("shard").distinct().collect())
+    held = spark.sparkContext.broadcast({x: k for k, x in enumerate(names)})
+    # a file's segments are in one task, in order; small tables have shorter files, so that all tasks have some
+    length = min(SEGMENTS, max(1, -(-segments // spark.sparkContext.defaultParallelism)))
+    ranged = entries.withColumn("run", F.floor(F.col("segment") / F.lit(length))).repartition("run").sortWithinPartitions("segment").drop("run")
+    schema = f"doc_id {kind}, segment long, slot int, fingerprint int, shard string, offset long, n_ids int, file string"
+    index = store.save(ranged.mapInArrow(lambda b: _indexed(b, path, seed, held.value, length), schema), "index")
     store.drop(entries)
-    return Shards(path, segments, np.dtype(tokens.encoder(vocabulary).kind).itemsize, index)
+    return Shards(path, segments, length, np.dtype(tokens.encoder(vocabulary).kind).itemsize, seed, names, index)
