@@ -54,6 +54,11 @@ def _symbols(data: np.ndarray, offs: np.ndarray, symbol: np.ndarray, order: int)
     return out, at
 
 
+def _contexts(s: np.ndarray, at: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The number of the ``k`` symbols before each place, the nearest first."""
+    return sum((s[at - j].astype(np.int64) * size ** (j - 1) for j in range(1, k + 1)), np.zeros(len(at), np.int64))
+
+
 def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 6) -> Model:
     """Context trees of ``order`` from texts by language; a context needs ``min_count`` occurrences in one language."""
     langs = sorted(texts)
@@ -70,41 +75,42 @@ def fit(texts: dict[str, list[str]], order: int = 4, min_count: int = 6) -> Mode
     uniform = np.full(size, 1 / 256)
     uniform[0] = max(unseen, 1) / 256
     uniform /= uniform.sum()
-    keys, child = [np.zeros(1, np.int64)], [np.full((1, size), -1, np.int32)]
-    nodes, probs, parent = 1, [], np.broadcast_to(uniform[None, :, None], (1, size, len(langs))).astype(np.float32)
-    for k in range(order + 1):
-        ctx = [sum((s[at - j].astype(np.int64) * size ** (j - 1) for j in range(1, k + 1)), np.zeros(len(at), np.int64)) for s, at in coded]
-        if k:
-            kept = [u[c >= min_count] for u, c in (np.unique(x, return_counts=True) for x in ctx)]
-            kept = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
-            up = np.searchsorted(keys[-1], kept % size ** (k - 1))
-            up[up == len(keys[-1])] = 0
-            ok = keys[-1][up] == kept % size ** (k - 1)
-            kept, up = kept[ok], up[ok]
-            child[-1][up, kept // size ** (k - 1)] = nodes + np.arange(len(kept))
-            keys.append(kept)
-            child.append(np.full((len(kept), size), -1, np.int32))
-            nodes += len(kept)
-            parent = probs[-1][up]
-        count = np.zeros((len(keys[-1]), size, len(langs)), np.float32)
-        for j, ((s, at), x) in enumerate(zip(coded, ctx)):
-            if len(keys[-1]) == 0:
+    # the tree's nodes, level by level: contexts seen often enough in one language, below kept ones
+    keys, ups, first, nodes = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [0], 1
+    child = [np.full((1, size), -1, np.int32)]
+    for k in range(1, order + 1):
+        kept = [np.zeros(0, np.int64)]
+        for s, at in coded:
+            u, c = np.unique(_contexts(s, at, k, size), return_counts=True)
+            kept.append(u[c >= min_count])
+        kept = np.unique(np.concatenate(kept))
+        up = np.minimum(np.searchsorted(keys[-1], kept % size ** (k - 1)), max(len(keys[-1]) - 1, 0))
+        ok = keys[-1][up] == kept % size ** (k - 1) if len(keys[-1]) else np.zeros(len(kept), bool)
+        kept, up = kept[ok], up[ok]
+        child[-1][up, kept // size ** (k - 1)] = nodes + np.arange(len(kept))
+        keys.append(kept)
+        ups.append(up + first[-1])
+        first.append(nodes)
+        child.append(np.full((len(kept), size), -1, np.int32))
+        nodes += len(kept)
+    # probabilities of one language and level at a time, in the table that becomes that of costs
+    cost = np.empty((nodes, size, len(langs)), np.float32)
+    for j, (s, at) in enumerate(coded):
+        for k, own in enumerate(keys):
+            if len(own) == 0:
                 break
-            i = np.minimum(np.searchsorted(keys[-1], x), len(keys[-1]) - 1)
-            ok = keys[-1][i] == x
-            count[:, :, j] = np.bincount(i[ok] * size + s[at][ok], minlength=len(keys[-1]) * size).reshape(-1, size)
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True, dtype=np.float32)
-        p = np.where(count > 0, np.float32(0), parent)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p *= kinds / (total + kinds) / p.sum(1, keepdims=True)
-            seen_here = count > 0
-            count /= total + kinds
-        np.copyto(p, count, where=seen_here)
-        np.copyto(p, parent, where=total == 0)
-        probs.append(p)
-        del count, seen_here, p
-    cost = np.concatenate(probs)
-    del probs, parent
+            here = slice(first[k], first[k] + len(own))
+            parent = cost[ups[k], :, j] if k else uniform[None].astype(np.float32)
+            x = _contexts(s, at, k, size)
+            i = np.minimum(np.searchsorted(own, x), len(own) - 1)
+            ok = own[i] == x
+            count = np.bincount(i[ok] * size + s[at][ok], minlength=len(own) * size).reshape(-1, size).astype(np.float32)
+            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True, dtype=np.float32)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(count > 0, np.float32(0), parent)
+                p *= kinds / (total + kinds) / p.sum(1, keepdims=True)
+                np.copyto(p, count / (total + kinds), where=count > 0)
+            cost[here, :, j] = np.where(total == 0, parent, p)
     np.log2(np.maximum(cost, np.float32(1e-30), out=cost), out=cost)
     np.negative(cost, out=cost)
     cost[:, 0] += np.log2(max(unseen, 1))
@@ -134,13 +140,12 @@ def train(docs: DataFrame, sample_docs: int = 150, order: int = 4, min_count: in
     """Fit on the ``sample_docs`` labelled documents of every language whose ids hash lowest."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample_docs).select("doc_id")
-    ids = [r[0] for r in ids.distinct().collect()]
+    ids = ids.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample_docs).select("doc_id").distinct()
     texts: dict[str, list[str]] = {}
-    if ids:
-        kept = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        for r in sorted(kept.collect()):
-            texts.setdefault(r.lang, []).append(r.text)
+    # at most sample_docs a language
+    kept = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    for r in sorted(kept.collect()):
+        texts.setdefault(r.lang, []).append(r.text)
     return fit({k: v for k, v in texts.items() if any(x.strip() for x in v)}, order, min_count)
 
 
