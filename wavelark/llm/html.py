@@ -38,6 +38,17 @@ LABELLED = [
     (7, 0.0, 2, 1.0, 0, 0.0, 0), (10, 0.3, 2, 1.0, 0, 0.0, 0), (4, 0.0, 1, 1.0, 3, 1.0, 0), (3, 0.0, 4, 1.0, 2, 1.0, 0), (2, 0.0, 5, 1.0, 5, 1.0, 0),
     (9, 0.3, 3, 1.0, 2, 1.0, 0), (2, 0.0, 0, 0.0, 1, 1.0, 0), (5, 0.0, 0, 0.0, 2, 1.0, 0), (3, 0.0, 0, 0.0, 4, 0.9, 0), (12, 0.4, 6, 0.5, 0, 0.0, 0),
     (4, 0.0, 3, 0.0, 1, 1.0, 0), (6, 0.0, 2, 1.0, 7, 0.6, 0), (1, 0.0, 1, 1.0, 1, 0.0, 0), (3, 0.0, 20, 0.6, 4, 0.5, 0), (8, 0.0, 1, 1.0, 2, 0.0, 0),
+    # copyright lines that end a page, longer than most headings and shorter than most paragraphs
+    (7, 0.0, 40, 0.0, 0, 0.0, 0), (8, 0.0, 25, 0.0, 0, 0.0, 0), (9, 0.1, 60, 0.0, 0, 0.0, 0), (10, 0.0, 15, 0.0, 0, 0.0, 0), (11, 0.0, 48, 0.0, 0, 0.0, 0),
+    (12, 0.0, 33, 0.0, 0, 0.0, 0), (13, 0.0, 90, 0.0, 0, 0.0, 0), (14, 0.0, 20, 0.0, 0, 0.0, 0), (15, 0.2, 55, 0.0, 0, 0.0, 0), (16, 0.0, 8, 0.0, 0, 0.0, 0),
+    (17, 0.0, 30, 0.0, 0, 0.0, 0), (9, 0.0, 5, 0.0, 0, 0.0, 0), (12, 0.0, 120, 0.0, 0, 0.0, 0), (11, 0.0, 6, 0.0, 0, 0.0, 0), (15, 0.0, 210, 0.0, 0, 0.0, 0),
+    # the last link of a menu, before a heading or a paragraph
+    (1, 1.0, 1, 1.0, 43, 0.0, 0), (2, 1.0, 1, 1.0, 60, 0.0, 0), (1, 1.0, 2, 1.0, 8, 0.0, 0), (3, 1.0, 1, 1.0, 120, 0.0, 0), (1, 1.0, 1, 1.0, 25, 0.0, 0),
+    (2, 1.0, 2, 1.0, 14, 0.0, 0), (1, 1.0, 1, 1.0, 5, 0.0, 0), (4, 1.0, 3, 1.0, 35, 0.0, 0),
+    # the last link of a page's end, and single links between paragraphs
+    (1, 1.0, 1, 1.0, 0, 0.0, 0), (2, 1.0, 3, 1.0, 0, 0.0, 0), (3, 1.0, 40, 0.0, 50, 0.0, 0), (1, 1.0, 60, 0.0, 12, 0.0, 0), (1, 1.0, 0, 0.0, 0, 0.0, 0),
+    # paragraphs that end a page
+    (24, 0.0, 40, 0.0, 0, 0.0, 1), (40, 0.0, 12, 0.0, 0, 0.0, 1), (75, 0.0, 90, 0.0, 0, 0.0, 1), (22, 0.0, 60, 0.0, 0, 0.0, 1), (30, 0.1, 20, 0.0, 0, 0.0, 1),
     # paragraphs
     (45, 0.0, 30, 0.0, 50, 0.0, 1), (60, 0.02, 8, 0.0, 70, 0.0, 1), (120, 0.01, 80, 0.0, 90, 0.03, 1), (25, 0.0, 40, 0.0, 35, 0.0, 1), (18, 0.0, 22, 0.0, 30, 0.0, 1),
     (80, 0.1, 60, 0.05, 3, 1.0, 1), (35, 0.15, 50, 0.0, 0, 0.0, 1), (55, 0.25, 40, 0.1, 45, 0.1, 1), (200, 0.0, 0, 0.0, 0, 0.0, 1), (30, 0.0, 1, 1.0, 45, 0.0, 1),
