@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,6 +23,8 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     def one(v):
+        if not isinstance(v, (list, tuple, dict)) and np.ndim(v) == 0 and pd.isna(v):
+            return "null"
         if "date" in type(v).__name__.lower() or isinstance(v, pd.Timestamp):
             return str(pd.Timestamp(v))
         if isinstance(v, (int, float)) and not isinstance(v, bool):
@@ -38,4 +41,5 @@ def test_query(spark, duck, name):
     if name in catalog.ORACLES:
         assert plain(got) == plain(duck.sql(catalog.ORACLES[name]).df())
     else:
-        assert len(got.columns)
+        # values are checked in test_models.py and test_sources.py
+        assert len(got) and len(got.columns)

@@ -173,3 +173,40 @@ def file_hour(name: Column) -> Column:
 def week_saturday(ts: Column) -> Column:
     """First day (Sunday) of the week that ends on Saturday."""
     return F.date_sub(F.to_date(F.date_trunc("week", F.date_add(F.to_date(ts), 1))), 1)
+
+
+def iso_time(c: Column) -> Column:
+    """``YYYY-MM-DD``, or with a time after 'T' or a space; a date alone is midnight. Null if it is none of them."""
+    return F.try_to_timestamp(F.when(F.length(c) == 10, F.concat(c, F.lit(" 00:00:00"))).otherwise(F.replace(c, F.lit("T"), F.lit(" "))), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def days_diff(a: Column, b: Column) -> Column:
+    """Whole days from a to b; an error if they are times that differ by a part of a day."""
+    seconds = F.unix_timestamp(b.cast("timestamp")) - F.unix_timestamp(a.cast("timestamp"))
+    return F.when(seconds % 86400 == 0, (seconds / 86400).cast("int")).otherwise(F.raise_error(F.lit("not whole days")).cast("int"))
+
+
+def opens_month(ts: Column) -> Column:
+    """Whether a time is the first instant of a month."""
+    return (F.dayofmonth(ts) == 1) & (ts == F.date_trunc("day", ts))
+
+
+def season(day: Column, periods: dict[str, tuple[str, str]]) -> Column:
+    """The name of the first period (first and last day) that a day is in; null outside."""
+    out = F.lit(None).cast("string")
+    for name, (a, b) in reversed(periods.items()):
+        out = F.when(day.between(F.lit(a).cast("date"), F.lit(b).cast("date")), name).otherwise(out)
+    return out
+
+
+def bounds(first: str, last: str, low: str, high: str) -> tuple[Column, Column]:
+    """Whether two ranges of days are equal, and whether the first is within the second."""
+    return (F.col(first) == F.col(low)) & (F.col(last) == F.col(high)), (F.col(first) >= F.col(low)) & (F.col(last) <= F.col(high))
+
+
+def scaled_weights(c: Column, key: str) -> tuple[Column, Column]:
+    """exp(x - max) and max + 1 - x, by key."""
+    from pyspark.sql.window import Window
+
+    top = F.max(c).over(Window.partitionBy(key))
+    return F.exp(c - top), top + 1 - c

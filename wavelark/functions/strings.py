@@ -93,7 +93,11 @@ def tokens_space(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
-_SCRIPTS = "Latin Greek Cyrillic Arabic Hebrew Armenian Georgian Devanagari Bengali Tamil Telugu Hangul Han Hiragana Katakana Ethiopic".split()
+#: Scripts in Unicode's names but those that are written without spaces between words (Thai, Lao, Khmer, Myanmar) and what several scripts share.
+_SCRIPTS = """Latin Greek Cyrillic Arabic Hebrew Armenian Georgian Devanagari Bengali Tamil Telugu Hangul Han Hiragana Katakana Ethiopic Gurmukhi Gujarati Oriya Kannada Malayalam
+Sinhala Tibetan Cherokee Canadian_Aboriginal Ogham Runic Tagalog Hanunoo Buhid Tagbanwa Mongolian Limbu Tai_Le New_Tai_Lue Buginese Tai_Tham Balinese Sundanese Batak Lepcha
+Ol_Chiki Glagolitic Coptic Tifinagh Bopomofo Yi Lisu Vai Bamum Syloti_Nagri Phags_Pa Saurashtra Kayah_Li Rejang Javanese Cham Tai_Viet Meetei_Mayek Syriac Thaana Nko Samaritan
+Mandaic Gothic Old_Italic Deseret Shavian Osmanya Cypriot Linear_B""".split()
 
 
 def tokens_script(c: Column) -> Column:
@@ -102,6 +106,84 @@ def tokens_script(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({pattern})"), F.lit(1)), F.lower)
 
 
+def script_of(c: Column) -> Column:
+    """The script of a letter (or of the first letter of several of one script); 'Common' for other characters."""
+    out = F.when(c.rlike(r"\p{IsLatin}"), "Latin")
+    for s in _SCRIPTS[1:]:
+        out = out.when(c.rlike(rf"\p{{Is{s}}}"), s)
+    return out.otherwise("Common")
+
+
+def field_tokens(fields: dict[str, Column], unify: bool = False) -> Column:
+    """Tokens of several fields, each with its field's code ahead unless they are unified."""
+
+    def of(k: str, c: Column) -> Column:
+        return tokens_space(c) if unify else F.transform(tokens_space(c), lambda t: F.concat(F.lit(k + " "), t))
+
+    return F.concat(*[of(k, c) for k, c in fields.items()])
+
+
+def int_or_float(c: Column) -> tuple[Column, Column]:
+    """A text as a whole number and as a real one; null where it isn't."""
+    return F.when(c.rlike(r"^\s*[-+]?[0-9]+\s*$"), c.try_cast("long")), c.try_cast("double")
+
+
+def si_text(c: Column) -> Column:
+    """A number with a decimal prefix."""
+    return F.when(c < 1000, c.cast("long").cast("string")).when(c < 1000000, F.format_string("%.1fk", c / 1000)).otherwise(F.format_string("%.1fM", c / 1000000))
+
+
+def sparse_text(c: Column) -> Column:
+    """The values of an array but zeros, as ``place:value`` parted by spaces."""
+    rows = F.transform(c, lambda v, i: F.when(v != 0, F.concat(i.cast("string"), F.lit(":"), v.cast("string"))))
+    return F.concat_ws(" ", F.filter(rows, lambda x: x.isNotNull()))
+
+
+def g4_text(c: Column) -> Column:
+    """Four significant digits as C has them for ``%.4g`` (but that ties round up); null as nothing."""
+    parts = F.split(F.format_string("%.3e", c), "e")
+    exp = parts[1].cast("int")
+    fixed = F.format_string("%.3f", c)
+    for e in range(-4, 4):
+        fixed = F.when(exp == e, F.format_string(f"%.{3 - e}f", c)).otherwise(fixed)
+    short = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    mantissa = F.regexp_replace(F.regexp_replace(parts[0], r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    out = F.when(exp.between(-4, 3), short).otherwise(F.concat(mantissa, F.lit("e"), parts[1]))
+    return F.when(c.isNull() | F.isnan(c), "").when(c == 0, "0").otherwise(out)
+
+
+def without_common_prefix(names: list[str]) -> list[str]:
+    """The names without what all of them begin with."""
+    import os.path
+
+    return [n[len(os.path.commonprefix(names)) :] for n in names]
+
+
+def partition_sentinel(items: list, sentinel) -> tuple[list, list]:
+    """What is before the first ``sentinel`` and what is after it."""
+    at = items.index(sentinel) if sentinel in items else len(items)
+    return items[:at], items[at + 1 :]
+
+
+def slices(text: str, place: Column, total: Column) -> Column:
+    """Whether a place (from 0) of ``total`` is in one of the slices of a text such as ``0,2:4,-2:``."""
+    out = F.lit(False)
+    for part in text.split(","):
+        if ":" not in part:
+            i = int(part)
+            out = out | (place == (i if i >= 0 else total + i))
+            continue
+        bounds = part.split(":")
+        lo, hi = (int(b) if b else None for b in bounds[:2])
+        step = int(bounds[2]) if len(bounds) > 2 and bounds[2] else 1
+        if step < 1:
+            raise ValueError("steps go forward")
+        first = F.lit(0) if lo is None else F.lit(lo) if lo >= 0 else F.greatest(total + lo, F.lit(0))
+        last = total if hi is None else F.lit(hi) if hi >= 0 else total + hi
+        out = out | ((place >= first) & (place < last) & ((place - first) % step == 0))
+    return out
+
+
 def tokens_word(c: Column) -> Column:
     """Words of letters and digits, with inner apostrophes and hyphens, in lower case."""
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"), F.lit(1)), F.lower)
@@ -161,3 +243,25 @@ def seconds_text(c: Column) -> Column:
     """h:mm:ss."""
     s = c.cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+def merge_maps(a: Column, b: Column) -> Column:
+    """A map of arrays with the keys of both, arrays of one key appended."""
+    none = F.create_map().cast("map<string,array<bigint>>")
+    empty = F.array().cast("array<bigint>")
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda _, x, y: F.concat(F.coalesce(x, empty), F.coalesce(y, empty)))
+
+
+def merge_dicts(a: dict, b: dict) -> dict:
+    """Two nested dictionaries as one: lists are appended, equal values kept, others in conflict."""
+    out = dict(a)
+    for k, v in b.items():
+        if k not in out:
+            out[k] = v
+        elif isinstance(v, dict) and isinstance(out[k], dict):
+            out[k] = merge_dicts(out[k], v)
+        elif isinstance(v, list) and isinstance(out[k], list):
+            out[k] = out[k] + v
+        elif out[k] != v:
+            raise ValueError(f"conflict at {k!r}")
+    return out

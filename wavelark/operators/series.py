@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numbers as N
+from ..functions import strings as S
 
 
 def hourly(events: DataFrame, project: str, article: str, ts: str, value: Column | None = None) -> DataFrame:
@@ -20,11 +21,17 @@ def totals(series: DataFrame) -> DataFrame:
 
 
 def fragments(series: DataFrame, shards: int, threshold: float = 0.0) -> DataFrame:
-    """One row a series and month: shard, total of absolute values (kept from ``threshold`` on) and the dense hour vector."""
+    """One row a series and month: shard, total of absolute values (kept from ``threshold`` on) and the dense hour vector.
+
+    Hours are summed into places of a day's array, and days laid out in a month's, after one shuffle.
+    """
     name = F.concat_ws("+", "project", "article")
-    g = series.select(name.alias("name"), N.month_of(F.col("hour")).alias("fragment"), N.hour_offset(F.col("hour")).alias("h"), "v")
-    g = g.groupBy("name", "fragment").agg(F.sum(F.abs("v")).alias("total"), F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), N.hours_in_month(F.col("fragment")) - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    g = series.select(name.alias("name"), N.month_of(F.col("hour")).alias("fragment"), F.dayofmonth("hour").alias("d"), F.hour("hour").alias("h"), "v").repartition("name", "fragment")
+    day = F.array(*[F.coalesce(F.sum(F.when(F.col("h") == h, F.col("v"))), F.lit(0.0)) for h in range(24)])
+    g = g.groupBy("name", "fragment", "d").agg(F.sum(F.abs("v")).alias("t"), day.alias("hours"))
+    g = g.groupBy("name", "fragment").agg(F.sum("t").alias("total"), F.map_from_entries(F.collect_list(F.struct("d", "hours"))).alias("m"))
+    zeros = F.array_repeat(F.lit(0.0), 24)
+    dense = F.flatten(F.transform(F.sequence(F.lit(1), F.dayofmonth(F.last_day("fragment"))), lambda d: F.coalesce(F.try_element_at("m", d), zeros)))
     return g.where(F.col("total") >= threshold).select("name", "fragment", N.shard(F.col("name"), shards).alias("shard"), "total", dense.alias("data"))
 
 
@@ -78,6 +85,95 @@ def correlate(series: DataFrame, targets: DataFrame, on: str, keys: list[str], v
     return both.groupBy(*keys, "target").agg(pearson(F.col(value), F.col(target)).alias("r"), F.max(F.when(ok, F.col(value))).alias("peak"), F.min(F.when(ok, F.col(value))).alias("trough"))
 
 
+def correlate_sparse(series: DataFrame, targets: DataFrame, on: str, keys: list[str], value: str = "v", target: str = "y", least: int = 3) -> DataFrame:
+    """As ``correlate`` for series that are 0 where they have no row: from sums over their rows and each target's own sums, so that no zero is ever a row."""
+    ok = targets.where(F.col(target).isNotNull())
+    y = F.col(target)
+    own = ok.groupBy("target").agg(F.count("*").alias("_n"), F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"))
+    v = F.col(value)
+    sums = series.join(ok, on).groupBy(*keys, "target").agg(F.count("*").alias("_k"), F.sum(v).alias("_sv"), F.sum(v * v).alias("_svv"), F.sum(v * y).alias("_svy"), F.max(v).alias("_hi"), F.min(v).alias("_lo"))
+    both = sums.join(own, "target")
+    n = F.col("_n").cast("double")
+    cov = F.col("_svy") - F.col("_sv") * F.col("_sy") / n
+    var = (F.col("_svv") - F.col("_sv") * F.col("_sv") / n) * (F.col("_syy") - F.col("_sy") * F.col("_sy") / n)
+    r = F.when((n >= least) & (var > 1e-9 * F.col("_svv") * F.col("_syy")), F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)))))
+    gaps = F.col("_k") < n
+    extremes = F.when(gaps, F.greatest("_hi", F.lit(0.0))).otherwise(F.col("_hi")), F.when(gaps, F.least("_lo", F.lit(0.0))).otherwise(F.col("_lo"))
+    return both.select(*keys, "target", F.coalesce(r, F.lit(0.0)).alias("r"), extremes[0].alias("peak"), extremes[1].alias("trough"))
+
+
+def similar(found: DataFrame, min_peak: float, min_similarity: float) -> DataFrame:
+    """Correlations with a peak and an absolute r large enough."""
+    return found.where((F.col("peak") >= min_peak) & (F.abs("r") >= min_similarity))
+
+
+def parts_per(counts: DataFrame, totals: DataFrame, keys: list[str], day: str, value: str = "n", total: str = "total", parts: float = 1e6, enough: float = 0.0) -> DataFrame:
+    """Every key on every day of its project's totals: parts (a million) of the total, 0 without counts, null on masked days (a total under ``enough``)."""
+    axis = counts.select(*keys).distinct().join(totals, [k for k in keys if k in totals.columns]) if any(k in totals.columns for k in keys) else counts.select(*keys).distinct().crossJoin(totals)
+    rows = axis.join(counts, [*keys, day], "left")
+    share = F.try_divide(F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * parts, F.col(total))
+    return rows.select(*keys, day, F.when(F.col(total) >= enough, share).alias("ppm"))
+
+
+def zero_fraction(df: DataFrame, keys: list[str], time: str, value: str, axis: int, most: float) -> DataFrame:
+    """Keys with their share of zeros among ``axis`` times (absent rows are zeros), where it is at most ``most``."""
+    some = df.groupBy(*keys).agg((1 - F.count(F.when(F.col(value) != 0, 1)) / axis).alias("zeros"))
+    return some.where(F.col("zeros") <= most)
+
+
+def align(estimate: DataFrame, truth: DataFrame, keys: list[str], time: str, days: int = 0, how: str = "right") -> DataFrame:
+    """Estimates moved ``days`` later on the truth's times: all of them ("right"), or those in both ("inner")."""
+    moved = estimate.withColumn(time, F.date_add(time, days))
+    return moved.join(truth, [*keys, time], how)
+
+
+def side_by_side(predictions: DataFrame, time: str, now: str, nows: list, value: str) -> DataFrame:
+    """A column of predictions for each of ``nows``."""
+    return predictions.groupBy(time).pivot(now, nows).agg(F.first(value))
+
+
+def test_schedule(spark, start: str, limit: str, train: str, gap: str, test: str, stride: str) -> DataFrame:
+    """Windows of training, gap and test, moved by ``stride`` while the test ends before ``limit``."""
+    s = F.expr(f"explode(sequence(TIMESTAMP '{start}', TIMESTAMP '{limit}', INTERVAL {stride}))").alias("train_start")
+    rows = spark.range(1).select(s)
+    rows = rows.withColumn("train_end", F.expr(f"train_start + INTERVAL {train}")).withColumn("test_start", F.expr(f"train_end + INTERVAL {gap}")).withColumn("test_end", F.expr(f"test_start + INTERVAL {test}"))
+    return rows.where(F.col("test_end") < F.lit(limit).cast("timestamp"))
+
+
+def training_window(df: DataFrame, keys: list[str], time: str, nows: DataFrame, training: int) -> DataFrame:
+    """For every ``now`` (a position) the rows of each key at positions [now - training, now)."""
+    rows = df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1)
+    wide = nows.select("now", F.explode(F.sequence(F.col("now") - training, F.col("now") - 1)).alias("position"))
+    return rows.join(wide, "position")
+
+
+def metrics_mean(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Sums of numeric columns and the same divided by the number of rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"{c}_sum") for c in columns], *[(F.sum(c) / F.count("*")).alias(f"{c}_mean") for c in columns])
+
+
+def select_slices(df: DataFrame, keys: list[str], order: list[Column], text: str) -> DataFrame:
+    """The rows of each key whose places in the order are in the slices of ``text``."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumns({"_place": F.row_number().over(w.orderBy(*order)) - 1, "_total": F.count("*").over(w)})
+    return rows.where(S.slices(text, F.col("_place"), F.col("_total"))).drop("_place", "_total")
+
+
+def sample_hash(df: DataFrame, key: str, fraction: float | None = None, n: int | None = None, seed: int = 1) -> DataFrame:
+    """A repeatable sample by a hash of the key that any engine can compute: each row with probability ``fraction``, or exactly ``n`` rows."""
+    h = (F.col(key) % 65536 * 40503 + F.floor(F.col(key) / 65536) * 2654435761 + seed * 97) * 48271 % 2147483647
+    if fraction is not None:
+        return df.where(h % 1000003 < int(fraction * 1000003))
+    return df.orderBy(h, key).limit(n)
+
+
+def mix_noise(df: DataFrame, keys: list[str], time: str, value: str, share: float, seed: int) -> DataFrame:
+    """(1 - share) of each value and ``share`` of another of its series, by a random permutation."""
+    a = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(time)))
+    b = df.select(*keys, F.col(value).alias("_other"), F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(time, F.lit(seed)), time)).alias("_i"))
+    return a.join(b, [*keys, "_i"]).withColumn(value, (1 - share) * F.col(value) + share * F.col("_other")).drop("_i", "_other")
+
+
 def lagged(series: DataFrame, targets: DataFrame, on: str, keys: list[str], lags: range, value: str = "v", target: str = "y") -> DataFrame:
     """Correlation at every lag in days, the target shifted later by the lag."""
     shifts = targets.select("*", F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
@@ -90,6 +186,35 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def trim_head(df: DataFrame, key: str, count: str, share: float) -> DataFrame:
+    """Without the ``share`` (rounded up) of rows of largest count, ties by key: whole counts fall by a histogram of counts, only the count at the cut is ranked."""
+    hist = df.groupBy(count).agg(F.count("*").alias("_rows"))
+    hist = hist.withColumn("_above", F.sum("_rows").over(Window.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, -1)))
+    cut = df.agg(F.ceil(F.count("*") * share).alias("_cut"))
+    hist = hist.crossJoin(F.broadcast(cut)).select(count, (F.col("_cut") - F.coalesce("_above", F.lit(0))).alias("_left"), "_rows")
+    rows = df.join(hist.where("_left < _rows"), count)
+    at = rows.where("_left > 0").withColumn("_rank", F.row_number().over(Window.partitionBy(count).orderBy(key))).where("_rank > _left")
+    return rows.where("_left <= 0").select(*df.columns).unionByName(at.select(*df.columns))
+
+
+def mapping(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Distinct pairs of a mapping, and whether each side has one partner only."""
+    rows = df.distinct()
+    one = lambda c: F.count("*").over(Window.partitionBy(*keys, c)) == 1
+    return rows.withColumns({"unique_a": one(a), "unique_b": one(b)})
+
+
+def combinations(df: DataFrame, name: str, most: int) -> DataFrame:
+    """Sorted arrays ``names`` of all combinations of 1 to ``most`` of the (few) names."""
+    base = df.select(F.col(name).alias("_n")).distinct()
+    now = base.select(F.array("_n").alias("names"))
+    out = now
+    for _ in range(most - 1):
+        now = now.join(base, F.element_at("names", -1) < F.col("_n")).select(F.array_append("names", F.col("_n")).alias("names"))
+        out = out.union(now)
+    return out
+
+
 def interpolate(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Inner nulls linear between neighbours, outer ones 0, on a dense axis."""
     w = Window.partitionBy(*keys).orderBy(time)
@@ -120,9 +245,9 @@ def schedule(spark, length: int, training: int, horizon: int, stride: int) -> Da
     return spark.range(0, max(length - horizon, 0), stride).where(F.col("id") >= training + horizon).select(F.col("id").cast("int").alias("now"))
 
 
-def folds(df: DataFrame, order: str, k: int) -> DataFrame:
-    """Contiguous folds; the first ones get one row more if need be."""
-    return df.withColumn("fold", F.ntile(k).over(Window.orderBy(order)))
+def folds(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
+    """Contiguous folds of each key; the first ones get one row more if need be."""
+    return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(*keys).orderBy(order)))
 
 
 def persistence(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

@@ -1,79 +1,25 @@
-"""All queries by name, and the SQL that they are checked against."""
+"""All queries by name, and the SQL that they are checked against: those here and in the modules imported at the end."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import shared
 from ..functions import numbers as N
 from ..functions import strings as S
-from ..operators import models as M
 from ..operators import series as R
-from ..sources import files
 from ..streaming import live
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "candidate_search"
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-    def series(self) -> DataFrame:
-        return R.hourly(self.events, "event_type", "user_id", "ts")
-
-    def daily(self) -> DataFrame:
-        return self.events.groupBy(F.col("event_type").alias("project"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("v"))
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-HOURLY = "SELECT event_type AS project, user_id::VARCHAR AS article, date_trunc('hour', ts) AS hour, count(*)::DOUBLE AS v FROM events GROUP BY ALL"
-DAILY = "SELECT event_type AS project, ts::DATE AS day, count(*)::DOUBLE AS v FROM events GROUP BY ALL"
-SHIP = "SELECT l_shipdate::DATE AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1"
-ORD = "SELECT o_orderdate::DATE AS day, count(*)::DOUBLE AS y FROM orders GROUP BY 1"
-PEARSON = "CASE WHEN count(*) >= 3 THEN coalesce(covar_pop({0}, {1}) / nullif(stddev_pop({0}) * stddev_pop({1}), 0), 0) ELSE 0 END"
-
+from .registry import DAILY, FLAGSHIP, HOURLY, ORACLES, ORD, PEARSON, QUERIES, SHIP, Tables, query  # noqa: F401
 
 # ---- scans, classification, URLs
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, CASE WHEN json_extract(props, '$.delete') IS NOT NULL THEN 'delete' WHEN json_extract(props, '$.text') IS NOT NULL THEN 'text' ELSE 'unknown' END AS kind FROM events")
-def json_classify(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), files.classify(F.col("props")).alias("kind"))
-
-
-@query("SELECT event_type AS project, user_id % 7 AS slot, count(*) AS n FROM events WHERE regexp_full_match(event_type || ' ' || user_id || ' 1 ' || event_id, '[a-z.]+ [-A-Za-z0-9_~!*();@,./%]+ [0-9]+ [0-9]+') GROUP BY ALL")
-def page_line_filter(t):
-    line = F.concat_ws(" ", "event_type", "user_id", F.lit("1"), "event_id")
-    return t.events.where(line.rlike(files.PAGE_LINE)).groupBy(F.col("event_type").alias("project"), (F.col("user_id") % 7).alias("slot")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id, date_trunc('hour', ts) - INTERVAL 1 HOUR AS hour FROM events")
 def file_name_hour(t):
     return t.events.select("event_id", N.file_hour(F.concat(F.lit("pagecounts-"), F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit(".gz"))).alias("hour"))
 
 
-@query("SELECT page_id, replace(url_decode(replace(url, '+', '%2B')), '_', ' ') AS decoded, replace(url_encode(replace(replace(url_decode(replace(url, '+', '%2B')), '_', ' '), ' ', '_')), '%2F', '/') AS encoded FROM pages")
-def url_canonical(t):
-    return t.pages.select("page_id", S.url_decode(F.col("url")).alias("decoded"), S.url_encode(F.col("url")).alias("encoded"))
-
-
 @query("SELECT DISTINCT event_type || '+User_' || user_id || '$norm' AS name, event_type AS project, 'User_' || user_id || '$norm' AS article, event_type || '.wikipedia.org' AS domain FROM events")
 def name_parts(t):
     raw = F.concat("event_type", F.lit("+User "), "user_id")
@@ -86,11 +32,6 @@ def project_list(t):
     return t.events.select(F.col("event_type").alias("project")).distinct()
 
 
-@query("SELECT conv_id, turn, regexp_replace(nullif(text, 'null'), '[\\s\\x00]+', ' ', 'g') AS text FROM conversations")
-def text_clean(t):
-    return t.conversations.select("conv_id", "turn", S.text_clean(F.col("text")).alias("text"))
-
-
 @query("SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[\\s\\x00]+', ' ', 'g') AS text FROM pages")
 def html_basic_unescape(t):
     return t.pages.select("page_id", S.text_clean(F.col("html"), entities=False).alias("text"))
@@ -126,41 +67,11 @@ def first_per_user(t):
     return first.join(t.events.where("event_type = 'error' and value > 60").select("user_id").distinct(), "user_id", "left_anti").select("user_id", "event_id")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE trim(lower(substr(text, 1, 3))) <> 'rt'")
-def retweet_filter(t):
-    return t.conversations.where(F.trim(F.lower(F.substring("text", 1, 3))) != "rt").select("conv_id", "turn")
-
-
-@query("SELECT event_type, avg((value < 10)::INT) AS share_low FROM events GROUP BY 1 HAVING avg((value < 10)::INT) <= 0.6666666")
-def zero_fraction_filter(t):
-    return t.events.groupBy("event_type").agg(F.avg((F.col("value") < 10).cast("int")).alias("share_low")).where("share_low <= 0.6666666")
-
-
-@query(f"WITH s AS ({HOURLY}), m AS (SELECT project || '+' || article AS name, date_trunc('month', hour)::DATE AS fragment, sum(v) AS total FROM s GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY name) AS c, max(fragment) OVER () AS latest FROM m) SELECT name, fragment, total FROM n WHERE NOT (c = 1 AND fragment = latest AND total < 0)")
-def latest_month_only(t):
-    f = R.fragments(t.series(), 4)
-    return f.select("name", "fragment", "total")
-
-
 @query("SELECT event_id, (event_id * 2654435761 % 4294967296) < 2147483648 AS first_half FROM events")
 def halves(t):
     return t.events.select("event_id", ((F.col("event_id") * F.lit(2654435761) % F.lit(4294967296)) < F.lit(2147483648)).alias("first_half"))
 
 
-@query(None)
-def sample_exact(t):
-    return t.events.orderBy(F.xxhash64("event_id"), "event_id").limit(100)
-
-
-@query("WITH c AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM conversations) WHERE word <> '' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, word) AS k, count(*) OVER () AS total FROM c WHERE n >= 5) SELECT word, n FROM r WHERE k > ceil(total * 0.01)")
-def token_trim(t):
-    words = t.conversations.select(F.explode(S.tokens_space(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
-    cut = words.agg(F.ceil(F.count("*") * 0.01).alias("cut"))
-    # only the head is ranked, so that no window spans all words
-    head = words.orderBy(F.desc("n"), "word").limit(cut.first()[0]).select("word")
-    return words.join(F.broadcast(head), "word", "left_anti")
-
-
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING sum(CASE WHEN l_tax <> 0 THEN 1 ELSE 0 END + CASE WHEN l_discount <> 0 THEN 1 ELSE 0 END) >= 1.5 * count(*)")
 def trim_for_fit(t):
     good = F.sum(F.when(F.col("l_tax") != 0, 1).otherwise(0) + F.when(F.col("l_discount") != 0, 1).otherwise(0))
@@ -174,21 +85,6 @@ def word_count(t):
     return t.documents.select(F.explode(S.tokens_space(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-NGRAM_SQL = """WITH w AS (SELECT conv_id, turn, lang_day, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS t FROM (SELECT *, (conv_id % 10)::INT AS lang_day FROM conversations)),
-g AS (SELECT lang_day, unnest(t) AS ngram FROM w UNION ALL SELECT lang_day, t[i] || ' ' || t[i + 1] FROM w, unnest(range(1, len(t))) r(i)),
-c AS (SELECT ngram, lang_day AS day, count(*) AS n FROM g GROUP BY ALL), k AS (SELECT ngram FROM c GROUP BY 1 HAVING sum(n) >= 10)
-SELECT c.* FROM c JOIN k USING (ngram)"""
-
-
-@query(NGRAM_SQL)
-def ngram_daily(t):
-    # tokens are a column of their own, as every n-gram refers to them
-    toks = t.conversations.select((F.col("conv_id") % 10).cast("int").alias("day"), S.tokens_space(F.col("text")).alias("toks"))
-    grams = toks.select("day", F.explode(S.ngrams(F.col("toks"), 2)).alias("ngram"))
-    c = grams.groupBy("ngram", "day").agg(F.count("*").alias("n"))
-    return c.withColumn("total", F.sum("n").over(Window.partitionBy("ngram"))).where("total >= 10").drop("total")
-
-
 @query(HOURLY)
 def hourly_series(t):
     return t.series()
@@ -219,11 +115,6 @@ def resample_week_saturday(t):
     return R.resample(t.series(), ["project"], "hour", "v", "week-sat")
 
 
-@query("SELECT ts::DATE AS day, count(*) AS count, count(*) FILTER (value > 20) AS count_geotag, min(event_id) AS min_id, max(event_id) AS max_id, round(100.0 * count(*) FILTER (value > 20) / count(*), 4) AS geotag_pct, count(*) >= 100000 AS full FROM events GROUP BY 1")
-def day_metadata(t):
-    return t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("count"), F.count_if(F.col("value") > 20).alias("count_geotag"), F.min("event_id").alias("min_id"), F.max("event_id").alias("max_id")).withColumns({"geotag_pct": F.round(F.col("count_geotag") * 100.0 / F.col("count"), 4), "full": F.col("count") >= 100000})
-
-
 @query("SELECT event_id, user_id FROM events ORDER BY event_id")
 def distinct_by_id(t):
     both = t.events.unionByName(t.events)
@@ -264,12 +155,6 @@ def quantiles(t):
     return g.select("o_orderpriority", F.round(F.col("q")[0], 2).alias("q025"), F.round(F.col("q")[1], 2).alias("q50"), F.round(F.col("q")[2], 2).alias("q975"), "mean", "sd", "mean_min10")
 
 
-@query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER w) / stddev_samp(o_totalprice) OVER w, 5) AS z FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")
-def column_normalise(t):
-    s = t.orders.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
-    return t.orders.join(F.broadcast(s), "o_orderpriority").select("o_orderkey", F.round((F.col("o_totalprice") - F.col("m")) / F.col("s"), 5).alias("z"))
-
-
 @query("WITH h AS (SELECT floor(value / 20)::BIGINT AS bin, count(*) AS n FROM events GROUP BY 1) SELECT bin, n, sum(n) OVER (ORDER BY bin)::BIGINT AS cumulative FROM h")
 def histogram_cumulative(t):
     h = t.events.groupBy(F.floor(F.col("value") / 20).alias("bin")).agg(F.count("*").alias("n"))
@@ -349,12 +234,6 @@ def resize_bounds(t):
     return axis.join(_ship(t).where("day BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"), "day", "left").select("day", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-@query(f"WITH o AS (SELECT day, y, coalesce(lead(day) OVER (ORDER BY day), day + 1) AS nxt FROM ({ORD}) WHERE extract(day FROM day) % 7 = 1) SELECT unnest(generate_series(day, nxt - 1, INTERVAL 1 DAY))::DATE AS day, round(y / (nxt - day), 6) AS y FROM o")
-def interval_expansion(t):
-    o = _orders(t).where(F.dayofmonth("day") % 7 == 1).withColumn("k", F.lit(1))
-    return R.intervals(o, ["k"], "day", "y").select("day", F.round("y", 6).alias("y"))
-
-
 LAG_SQL = f"WITH d AS ({DAILY}), y AS (SELECT day, v AS y FROM d WHERE project = 'view'), k AS (SELECT unnest(range(-28, 29))::INT AS lag), m AS (SELECT (day + lag)::DATE AS day, lag, y FROM y, k) SELECT project, lag, round({PEARSON.format('v', 'y')}, 6) AS r, count(*) AS n FROM d JOIN m USING (day) GROUP BY ALL"
 
 
@@ -365,34 +244,6 @@ def lag_correlation(t):
     return R.lagged(d, F.broadcast(y), "day", ["project"], range(-28, 29)).withColumn("r", F.round("r", 6))
 
 
-@query("SELECT n.n_nationkey, x.h AS horizon, r_name FROM nation n JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([1, 2, 4, 8])::INT AS h) x WHERE n_nationkey % 2 = 0")
-def factor_product(t):
-    h = t.spark.createDataFrame([(k,) for k in (1, 2, 4, 8)], "horizon int")
-    return t.nation.where("n_nationkey % 2 = 0").join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).crossJoin(F.broadcast(h)).select("n_nationkey", "horizon", "r_name")
-
-
-@query(f"SELECT day, coalesce(sum(v) FILTER (project = 'click'), 0) AS click, coalesce(sum(v) FILTER (project = 'view'), 0) AS \"view\", printf('%.4g', coalesce(sum(v), 0) / 7) AS text FROM ({DAILY}) GROUP BY day")
-def wide_pivot(t):
-    p = t.daily().groupBy("day").pivot("project", ["click", "view", "error", "purchase", "signup"]).agg(F.sum("v")).na.fill(0.0)
-    total = F.col("click") + F.col("view") + F.col("error") + F.col("purchase") + F.col("signup")
-    return p.select("day", "click", "view", F.format_string("%s", F.round(total / 7, 0).cast("long")).alias("text"))
-
-
-ORACLES["wide_pivot"] = ORACLES["wide_pivot"].replace("printf('%.4g', coalesce(sum(v), 0) / 7)", "round(sum(v) / 7)::BIGINT::VARCHAR")
-
-
-@query("SELECT p_brand, count(DISTINCT p_type) AS types, count(DISTINCT p_brand) = 1 AS one FROM part GROUP BY 1")
-def mapping_unique(t):
-    return t.part.groupBy("p_brand").agg(F.countDistinct("p_type").alias("types"), (F.countDistinct("p_brand") == 1).alias("one"))
-
-
-@query("SELECT w.article, h.hour, coalesce(s.n, 0) AS n FROM (SELECT user_id AS article FROM events GROUP BY 1 HAVING user_id < 5) w, (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-03 23:00:00', INTERVAL 1 HOUR)) AS hour) h LEFT JOIN (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL) s ON s.user_id = w.article AND s.hour = h.hour")
-def article_access(t):
-    wanted = t.events.where("user_id < 5").select(F.col("user_id").alias("article")).distinct()
-    hours = t.spark.sql("SELECT explode(sequence(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-03 23:00:00', INTERVAL 1 HOUR)) AS hour")
-    s = t.events.where("user_id < 5").groupBy(F.col("user_id").alias("article"), F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
-    return wanted.crossJoin(F.broadcast(hours)).join(s, ["article", "hour"], "left").select("article", "hour", F.coalesce("n", F.lit(0)).alias("n"))
-
 
 # ---- windows
 
@@ -408,14 +259,6 @@ def rolling_origins(t):
     return R.schedule(t.spark, 104, 22, 8, 4)
 
 
-@query(f"WITH a AS (SELECT g::DATE AS day, v, epoch(g) AS t FROM generate_series((SELECT min(day) FROM ({SHIP})), (SELECT max(day) FROM ({SHIP})), INTERVAL 1 DAY) s(g) LEFT JOIN (SELECT * FROM ({SHIP}) WHERE extract(day FROM day) % 3 = 0) ON day = g::DATE), b AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER p AS t0, first_value(v IGNORE NULLS) OVER n AS v1, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER n AS t1 FROM a WINDOW p AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT day, round(coalesce(v, v0 + (v1 - v0) * (t - t0) / nullif(t1 - t0, 0), 0), 5) AS v FROM b")
-def interpolation(t):
-    s = _ship(t).withColumn("k", F.lit(1))
-    axis = s.groupBy("k").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    known = s.where(F.dayofmonth("day") % 3 == 0)
-    return R.interpolate(axis.join(known, ["k", "day"], "left"), ["k"], "day", "v").select("day", F.round("v", 5).alias("v"))
-
-
 @query("WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, min(event_id) AS first_id, count(*) AS n FROM e GROUP BY user_id, event_type, g")
 def islands(t):
     a, b = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -443,29 +286,11 @@ def bounded_queue(t):
     return R.top(t.orders.where("o_totalprice is not null"), ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 10).select("o_orderpriority", "o_orderkey", "o_totalprice", "rank")
 
 
-@query("WITH m AS (SELECT o_orderstatus, max(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o.o_orderstatus, max(o_orderkey) AS o_orderkey, max(o_custkey) AS o_custkey, max(o_totalprice) AS best FROM orders o JOIN m ON o.o_orderstatus = m.o_orderstatus AND o_totalprice = m GROUP BY 1")
-def best_per_group(t):
-    m = t.orders.groupBy("o_orderstatus").agg(F.max("o_totalprice").alias("best"))
-    both = t.orders.join(F.broadcast(m), "o_orderstatus").where("o_totalprice = best")
-    return both.groupBy("o_orderstatus").agg(F.max("o_orderkey").alias("o_orderkey"), F.max("o_custkey").alias("o_custkey"), F.max("best").alias("best"))
-
-
-@query("SELECT s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS lo, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey DESC) AS hi FROM supplier) WHERE lo <= 5 OR hi <= 5")
-def slices_both_ends(t):
-    s = t.supplier.select("s_suppkey", "s_acctbal")
-    return s.orderBy("s_acctbal", "s_suppkey").limit(5).union(s.orderBy(F.desc("s_acctbal"), F.desc("s_suppkey")).limit(5)).distinct()
-
-
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
-def set_missing(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
-
-
 @query("SELECT l_orderkey AS k FROM lineitem INTERSECT SELECT o_orderkey FROM orders")
 def set_intersect(t):
     return t.lineitem.select(F.col("l_orderkey").alias("k")).intersect(t.orders.select("o_orderkey"))
@@ -525,12 +350,6 @@ def miller_projection(t):
     return t.nation.where(N.in_bounds(lat)).select("n_nationkey", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS n_space, NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]') AS latin, regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FBF}]') AS japanese FROM documents")
-def tokenisers(t):
-    c = F.col("text")
-    return t.documents.select("doc_id", F.size(S.tokens_space(c)).alias("n_space"), (~c.rlike(r"[^\x00-\xFF]")).alias("latin"), S.is_japanese(c).alias("japanese"))
-
-
 @query("SELECT page_id, regexp_replace(url, '\\.[^./]*$', '') AS stem, printf('%d:%02d:%02d', length(html) // 3600, length(html) // 60 % 60, length(html) % 60) AS clock FROM pages")
 def formatting(t):
     return t.pages.select("page_id", S.without_ext(F.col("url")).alias("stem"), S.seconds_text(F.length("html")).alias("clock"))
@@ -538,59 +357,15 @@ def formatting(t):
 
 # ---- composites, models, graphs
 
-@query(f"""WITH s AS (SELECT project || '+' || (user_id % 40) AS name, day, count(*)::DOUBLE AS v FROM (SELECT event_type AS project, user_id, ts::DATE AS day FROM events) GROUP BY ALL),
-axis AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day), n AS (SELECT DISTINCT name FROM s),
-d AS (SELECT n.name, axis.day, coalesce(v, 0) AS v FROM n CROSS JOIN axis LEFT JOIN s ON s.name = n.name AND s.day = axis.day),
-y AS (SELECT day, project AS target, v AS y FROM ({DAILY})),
-r AS (SELECT target, name, round({PEARSON.format('v', 'y')}, 6) AS r, max(v) AS peak, min(v) AS trough FROM d JOIN y USING (day) GROUP BY ALL)
-SELECT target, name, r, peak, trough, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(r) DESC, name) AS rank FROM r) WHERE rank <= 10""")
-def candidate_search(t):
-    """For every target, the ten series that correlate best with it."""
-    e = t.events.select(F.concat_ws("+", "event_type", (F.col("user_id") % 40).cast("string")).alias("name"), F.to_date("ts").alias("day"))
-    d = R.densify(e.groupBy("name", "day").agg(F.count("*").cast("double").alias("v")), ["name"], "day", "1 DAY", {"v": 0.0}, per_key=False)
-    y = F.broadcast(t.daily().select("day", F.col("project").alias("target"), F.col("v").alias("y")))
-    r = R.correlate(d, y, "day", ["name"]).withColumn("r", F.round("r", 6))
-    return R.top(r, ["target"], [F.abs("r").desc(), F.asc("name")], 10).select("target", "name", "r", "peak", "trough", "rank")
-
-
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
 def ols_one_feature(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
 
 
-@query(None)
-def forecast(t):
-    w = Window.partitionBy("project").orderBy("day")
-    d = t.daily().withColumns({f"l{k}": F.lag("v", k).over(w) for k in (1, 2, 7)})
-    return M.forecast(d, ["project"], ["l1", "l2", "l7"], "v", "day", 21)
-
-
 def _points(t) -> DataFrame:
     return t.embeddings.select(F.col("label").cast("string").alias("token"), (F.col("embedding")[0].cast("double") * 10).alias("lon"), (F.col("embedding")[1].cast("double") * 10).alias("lat"))
 
 
-@query(None)
-def token_mixtures(t):
-    return M.token_models(_points(t))
-
-
-@query(None)
-def locate_messages(t):
-    m = t.conversations.select(F.col("conv_id").alias("id"), (F.col("turn") % 10).cast("string").alias("token"))
-    return M.locate(m, M.token_models(_points(t)))
-
-
-@query("""WITH RECURSIVE e(child, parent) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'top' FROM region),
-p AS (SELECT 'n' || x.n_nationkey AS a, 'n' || y.n_nationkey AS b FROM nation x, nation y WHERE x.n_nationkey < y.n_nationkey)
-SELECT a, b, (CASE WHEN x.parent = y.parent THEN 1 ELSE 2 END)::INT AS distance FROM p JOIN e x ON x.child = a JOIN e y ON y.child = b""")
-def category_distance(t):
-    n = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    edges = n.union(t.region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("top")))
-    a = t.nation.select(F.col("n_nationkey").alias("i"), F.concat(F.lit("n"), "n_nationkey").alias("a"))
-    pairs = a.join(a.toDF("j", "b"), F.col("i") < F.col("j")).select("a", "b")
-    return M.category_distance(t.spark, edges, pairs)
-
-
 @query("SELECT r_name AS root, n_name AS article FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT r_name, r_name FROM region")
 def link_graph(t):
     links = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("root"), F.col("n_name").alias("article"))
@@ -600,29 +375,17 @@ def link_graph(t):
 # ---- streams, run to the end of what is there
 
 def _stream(t) -> DataFrame:
-    schema = t.events.schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(t)).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def _folder(t) -> str:
-    import os
-
-    path = f"{t.dir}/events.parquet"
-    if os.path.isdir(path):
-        return path
-    out = tempfile.mkdtemp()
-    os.symlink(path, f"{out}/events.parquet")
-    return out
+    """The events, written to a folder of the shared one, as a stream of files."""
+    path = shared.path(t.spark, "stream-in")
+    t.events.write.parquet(path)
+    return t.spark.readStream.schema(t.events.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _finish(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    out = tempfile.mktemp(prefix=name, dir="/") [1:]
-    path = f"{base}/streams/{out}"
+    path = shared.path(df.sparkSession, name)
     q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL")
@@ -637,8 +400,7 @@ def stream_distinct(t):
 
 @query("SELECT date_trunc('month', ts)::DATE AS month, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_months(t):
-    base = (t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
-    path = f"{base}/streams/{tempfile.mktemp(dir='/')[1:]}"
+    path = shared.path(t.spark, "months")
     counts = _stream(t).select(N.month_of(F.col("ts")).alias("month"), "event_type")
 
     def batch(df, k, merge=live.merge_months(path, "month")):
@@ -646,3 +408,6 @@ def stream_months(t):
 
     counts.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return live.read_months(t.spark, path, ["month", "event_type"])
+
+
+from . import inputs, modelling, search, stores, texts  # noqa: E402, F401 (they add their queries)

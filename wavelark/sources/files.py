@@ -44,6 +44,7 @@ def tweet_rows(t: DataFrame) -> DataFrame:
 
 
 def tweets_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Tweets of tab-separated files without a header; nothing between tabs is null."""
     return spark.read.csv(path, sep="\t", quote="", schema=TWEET_TSV, nullValue="", timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]")
 
 
@@ -53,32 +54,45 @@ def write_tsv(df: DataFrame, path: str, by: str | None = None, mode: str = "over
     (w.partitionBy(by) if by else w).csv(path)
 
 
-def json_glued(spark: SparkSession, path: str, most: int = 16) -> DataFrame:
-    """JSON objects (column ``json``) whose text may be broken over up to ``most`` further lines of a file."""
+def json_glued(spark: SparkSession, path: str, most: int = 16, failures: int = 10) -> DataFrame:
+    """JSON objects (column ``json``) whose text may be broken over up to ``most`` further lines of a file.
+
+    Lines come with their file and row, and a file's lines are put in order by one shuffle; files are as large as their writer rotates them. A file with more than
+    ``failures`` objects that can't be read is an error.
+    """
     import json
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def glue(frames):
-        for df in frames:
+    def glue(batches):
+        name, held, failed = None, [], 0
+        for b in batches:
             out = []
-            for text in df["value"]:
-                held: list[str] = []
-                for line in text.split("\n"):
-                    if not held and not line.startswith("{"):
-                        continue
-                    held.append(line)
-                    try:
-                        json.loads("".join(held))
-                    except ValueError:
-                        if len(held) > most:
-                            held = []
-                        continue
-                    out.append("".join(held))
-                    held = []
-            yield pd.DataFrame({"json": pd.Series(out, dtype=object)})
-
-    return spark.read.text(path, wholetext=True).mapInPandas(glue, "json string")
+            for file, line in zip(b.column("file").to_pylist(), b.column("line").to_pylist()):
+                if file != name:
+                    name, held, failed = file, [], 0
+                if not held and not line.startswith("{"):
+                    continue
+                held.append(line)
+                try:
+                    json.loads("".join(held))
+                except ValueError:
+                    if len(held) > most:
+                        held, failed = [], failed + 1
+                        if failed > failures:
+                            raise ValueError(f"too many objects of {file} can't be read") from None
+                    continue
+                out.append("".join(held))
+                held = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["json"])
+
+    return _numbered(spark, path).repartition("file").sortWithinPartitions("file", "row").mapInArrow(glue, "json string")
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their files and their order in these: a file is read by one task if it is compressed, else in runs whose order is that of their first bytes."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("row"), F.col("value").alias("line"))
 
 
 def target_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -115,3 +129,34 @@ def noise(spark: SparkSession, count: int, kind: str, seed: int = 0, level: floa
 def write_fragments(frags: DataFrame, path: str) -> None:
     """Store series by month and shard; only the months in ``frags`` are replaced."""
     frags.repartition("fragment", "shard").sortWithinPartitions("name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fragment", "shard").parquet(path)
+
+
+def validated(names: DataFrame, name: str) -> DataFrame:
+    """File names with the month of their hour and whether it is that of the last file with a time."""
+    rows = names.select(F.col(name).alias("name")).withColumn("hour", F.when(F.col("name").rlike(r"\d{8}-\d{6}"), N.file_hour(F.col("name"))))
+    rows = rows.withColumn("month", N.month_of(F.col("hour")))
+    last = rows.where("month IS NOT NULL").agg(F.max_by("month", "name").alias("last"))
+    return rows.crossJoin(F.broadcast(last)).select("name", "month", F.coalesce(F.col("month") == F.col("last"), F.lit(False)).alias("valid"))
+
+
+def sorted_prefix(lines: DataFrame, file: str, row: str, line: str) -> DataFrame:
+    """The lines of each file before the first that is less than the one ahead of it."""
+    from pyspark.sql.window import Window
+
+    falls = lines.withColumn("_falls", F.col(line) < F.lag(line).over(Window.partitionBy(file).orderBy(row)))
+    first = falls.where("_falls").groupBy(file).agg(F.min(row).alias("_first"))
+    return falls.join(first, file, "left").where(F.col("_first").isNull() | (F.col(row) < F.col("_first"))).select(*lines.columns)
+
+
+def project_ok(project: F.Column, stamp: F.Column) -> F.Column:
+    """Whether a project's name is one that files of that time have."""
+    old = stamp <= F.lit("2015-01-15 00:00:00").cast("timestamp")
+    return F.when(old, project.rlike(r"^[a-z]+(\.[a-z]+)?$")).otherwise(project.rlike(r"^[a-z.]+$"))
+
+
+def geojson(rows: DataFrame, keys: list[str], order: str, lon: F.Column, lat: F.Column, properties: list[str]) -> DataFrame:
+    """A collection of points of each key as GeoJSON text, in the given order."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), feature.alias("f")))).alias("held"))
+    return held.select(*keys, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("held", lambda x: x["f"]).alias("features"))).alias("json"))

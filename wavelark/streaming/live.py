@@ -35,3 +35,72 @@ def merge_months(path: str, month: str):
 def read_months(spark, path: str, keys: list[str]) -> DataFrame:
     """Counts ``n`` by key over all batches stored by ``merge_months``."""
     return spark.read.parquet(path).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+class MonthStore:
+    """Counts by month that come in updates, as Parquet by month.
+
+    An update of a new month is written as it is; one of a month that is there is added to it, the sum written beside it and then put in its place. When a month is closed,
+    counts under ``threshold`` go: new months are filtered as they are written, others once their sums are whole.
+    """
+
+    def __init__(self, spark, path: str, keys: list[str], threshold: float):
+        self.spark, self.path, self.keys, self.threshold = spark, path, keys, threshold
+        self.parts: dict[str, str] = {}
+
+    def strategy(self, month: str, closed: bool) -> int:
+        """0 add, 1 write, 2 add and prune, 3 write what is large enough."""
+        return 2 * closed + (month not in self.parts)
+
+    def update(self, counts: DataFrame, closed: bool) -> dict[str, int]:
+        """Merge rows (month, keys, n); returns the strategy of each month."""
+        import uuid
+
+        done = {}
+        for month in sorted(str(r.month) for r in counts.select("month").distinct().collect()):
+            done[month] = self.strategy(month, closed)
+            rows = counts.where(F.col("month") == F.lit(month).cast("date")).select("month", *self.keys, F.col("n").cast("long").alias("n"))
+            if month in self.parts:
+                rows = rows.unionByName(self.spark.read.parquet(self.parts[month])).groupBy("month", *self.keys).agg(F.sum("n").alias("n"))
+            if closed:
+                rows = rows.where(F.col("n") >= self.threshold)
+            path = f"{self.path}/{month}-{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            self.parts[month] = path
+        return done
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(*self.parts.values())
+
+
+def month_closed(hours: DataFrame, hour: str) -> DataFrame:
+    """Rows (month, closed): a month is closed once its last hour is there."""
+    from ..functions import numbers as N
+
+    by = hours.groupBy(N.month_of(F.col(hour)).alias("month")).agg(F.max(hour).alias("last"))
+    return by.select("month", (F.date_trunc("hour", "last") == F.expr("timestamp(last_day(month)) + INTERVAL 23 HOURS")).alias("closed"))
+
+
+def heartbeat(say, first: int = 1):
+    """A query listener that calls ``say`` with the rows so far after 1, 2, 4, ... batches."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Heartbeat(StreamingQueryListener):
+        def __init__(self):
+            self.rows = self.batches = 0
+            self.next = first
+
+        def onQueryStarted(self, event): ...
+
+        def onQueryProgress(self, event):
+            self.rows += event.progress.numInputRows
+            self.batches += 1
+            if self.batches >= self.next:
+                self.next *= 2
+                say(self.rows)
+
+        def onQueryIdle(self, event): ...
+
+        def onQueryTerminated(self, event): ...
+
+    return Heartbeat()
