@@ -144,6 +144,8 @@ def _similar(batches):
     for b in batches:
         out = [_share(p, q) for p, q in zip(_views(b.column("x")), _views(b.column("y")))]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
+        del b
+    tx.trim()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -256,6 +258,8 @@ def _links(batches, threshold: float):
             held.append(part)
     if held:
         yield _tile_links(pa.Table.from_batches(held), threshold)
+    held.clear()
+    tx.trim()
 
 
 def links(nodes: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ string at a time) and never cut a text: a batch is split between rows only.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _GRAM = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.ones(1, np.uint64)
+_LIBC = None
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,6 +45,20 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def trim() -> None:
+    """Give back what is free: Python workers live on between stages, and what one stage needed at most would stay theirs."""
+    global _LIBC
+    pa.default_memory_pool().release_unused()
+    if _LIBC is None:
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6")
+            _LIBC.malloc_trim  # noqa: B018
+        except (OSError, AttributeError):
+            _LIBC = False
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Split batches between rows so that each holds about ``size`` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
@@ -53,6 +69,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20)
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch, offs
+        trim()
+
+
+def gather(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Batches joined until each holds at least ``size`` bytes of text, for work that is worth more on many rows at once."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.column(column).nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def fold(buf: np.ndarray) -> np.ndarray:
