@@ -853,6 +853,40 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got[4].collect()))
 
 
+def test_pipeline_defined_cases(spark, tmp_path):
+    """Empty tables, null and repeated ids, and columns named like the stages' own."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    own = ["n_lines", "n_dropped", "accepted", "h", "key", "group_id", "score"]
+    bench = spark.createDataFrame([(0, "a b c d e"), (None, "x y z"), (2, None)], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def through(rows):
+        now, got = rows, []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            assert name == "packing" or out.columns == rows.columns
+            now = spark.createDataFrame(out.collect(), out.schema)
+            got.append(now)
+        return got
+
+    none = empty(spark)
+    for c in own:
+        none = none.withColumn(c, F.lit("clash"))
+    assert all(d.count() == 0 for d in through(none))
+    x, y = prose(rng, 60), prose(rng, 60)
+    rows = [(1, x, "en"), (1, x, "en"), (9, x, "en"), (9, y, "en"), (None, x, "en"), (3, None, "en"), (4, "", None), (5, prose(rng, 60), None)]
+    d = spark.createDataFrame([(i, t, l, "s", len(t or "")) for i, t, l in rows], DOCS)
+    for c in own:
+        d = d.withColumn(c, F.lit("clash"))
+    got = through(d)
+    assert [g.count() for g in got[:4]] == [6, 6, 5, 5]
+    assert sorted((r.doc_id or 0, r.text == x) for r in got[2].collect()) == [(0, True), (1, True), (1, True), (5, False), (9, False)]
+    assert all(r[c] == "clash" for r in got[3].collect() for c in own)
+    assert got[4].count() == 5 and got[4].columns == ["doc_id", "piece", "start", "length", "pack_id", "pack_offset"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     import duckdb

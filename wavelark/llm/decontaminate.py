@@ -195,6 +195,7 @@ def _aligned(batches, items: Items, least: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.0005, least: float = 0.4, most: int = 50_000) -> DataFrame:
     """Rows (doc_id, item_id, score) for every document that holds a copy of an item with a score of at least ``least``."""
     spark = docs.sparkSession
+    store.small_batches(spark)
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
     docs = docs.select("doc_id", "text")
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")

@@ -317,7 +317,7 @@ def _near(docs: DataFrame, threshold: float, recall: float, n: int, hashes: int)
         root = components(first.union(second))
 
     linked = links(root, low, sets, threshold, kind).join(root.select(F.col("node").alias("cid"), "root"), "cid")
-    linked = store.save(linked, "links")
+    found = linked = store.save(linked, "links")
     group = linked.join(low.select("cid", "rep", "rep_h"), "cid").groupBy("root").agg(F.min(F.struct("rep", "rep_h")).alias("g"))
     linked = linked.join(group.select("root", F.col("g.rep").alias("group_id"), F.col("g.rep_h").alias("group_h")), "root").drop("root")
     classes = low.drop("bands").join(linked, "cid", "left").where("n > 1 or group_id is not null")
@@ -329,8 +329,8 @@ def _near(docs: DataFrame, threshold: float, recall: float, n: int, hashes: int)
     second_id = same.groupBy("cid").agg(F.min("doc_id").alias("next"))
     firsts = classes.join(second_id, "cid", "left").where("next is not null or partner is not null")
     firsts = firsts.select(F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"), "group_id", "group_h", F.col("rep").alias("class_id"), F.coalesce("next", "partner").alias("partner_id"), F.when(F.col("next").isNotNull(), 1.0).otherwise(F.col("jaccard")).alias("jaccard"), "n_links")
-    out = firsts.unionByName(same.drop("cid"))
-    for t in (open_, first, second, hot, members, sets, root):  # nothing below reads them
+    out = store.save(firsts.unionByName(same.drop("cid")), "near")
+    for t in (open_, first, second, hot, members, sets, root, sig, low, found, classes, same):
         store.drop(t)
     return out
 
@@ -349,5 +349,7 @@ def drop_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.9
     found = _near(docs, threshold, recall, n, hashes)
     key = store.unused(docs, "h")
     gone = found.where("doc_id <> group_id or h <> group_h").select("doc_id", F.col("h").alias(key)).distinct()
-    kept = store.by_ids(docs.withColumn(key, F.xxhash64("text")), store.save(gone, "duplicates"), "left_anti", ["doc_id", key])
+    gone = store.save(gone, "duplicates")
+    store.drop(found)
+    kept = store.by_ids(docs.withColumn(key, F.xxhash64("text")), gone, "left_anti", ["doc_id", key])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

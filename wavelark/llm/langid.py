@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import store
 from . import text as tx
 
 RESULT = "pred_lang string, n_bytes long, bits_per_byte double, margin double, accepted boolean"
@@ -149,17 +150,19 @@ def train(docs: DataFrame, sample_docs: int = 150, order: int = 4, min_count: in
     return fit({k: v for k, v in texts.items() if any(x.strip() for x in v)}, order, min_count)
 
 
-def identify(docs: DataFrame, model: Model, max_bits: float = 5.0, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, max_bits: float = 5.0, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Score whole texts. A text is accepted if its best language codes it in at most ``max_bits`` bits a byte.
 
-    ``keep`` names the columns to carry along (default: all that the result doesn't name itself).
+    ``keep`` names the columns to carry along (default: all that the result doesn't name itself); ``prefix`` goes ahead of the result's names.
     """
     spark = docs.sparkSession
-    own = T._parse_datatype_string(RESULT).fieldNames()
+    store.small_batches(spark)
+    fields = [T.StructField(prefix + f.name, f.dataType) for f in T._parse_datatype_string(RESULT).fields]
+    own = [f.name for f in fields]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     held = spark.sparkContext.broadcast(model)
     picked = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
-    schema = T.StructType([picked.schema[c] for c in keep] + T._parse_datatype_string(RESULT).fields)
+    schema = T.StructType([picked.schema[c] for c in keep] + fields)
 
     def score(batches):
         m = held.value
@@ -185,4 +188,8 @@ def identify(docs: DataFrame, model: Model, max_bits: float = 5.0, keep: list[st
 
 def accept(docs: DataFrame, model: Model, max_bits: float = 5.0) -> DataFrame:
     """The documents that ``identify`` accepts, in their own columns."""
-    return identify(docs, model, max_bits, docs.columns).where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = ""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = identify(docs, model, max_bits, docs.columns, prefix)
+    return found.where(F.col(f"`{prefix}accepted`")).select(*[F.col(f"`{c}`") for c in docs.columns])

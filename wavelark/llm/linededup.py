@@ -124,7 +124,7 @@ class Lines:
 def _occurrences(batches, min_tokens: int):
     """Rows of LINES, combined over each batch."""
     kind = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary()), ("n_docs", pa.int64())])
-    for b in batches:
+    for b in tx.gather(batches, "text"):
         held = []
         for part in tx.slices(iter([b]), "text"):
             data, offs = tx.flat(part.column("text"))
@@ -298,7 +298,7 @@ def _thinned(of: np.ndarray, sign: np.ndarray, min_docs: int) -> np.ndarray:
 
 def _signed(batches, line: np.ndarray, template: np.ndarray, min_docs: int):
     """Arrays (template, sign) of a task: up to ``min_docs`` documents of each batch for each template in them, no two of them copies. ``line`` is sorted."""
-    for b in batches:
+    for b in tx.gather(batches, "text"):
         of, signs = [np.zeros(0, np.int64)], [np.zeros((0, 2 * BINS), np.uint8)]
         for part in tx.slices(iter([b]), "text"):
             data, offs = tx.flat(part.column("text"))
@@ -358,6 +358,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7,
 
     Up to ``broadcast_lines`` candidates' lines (32 MB) are broadcast; more are joined with the documents' lines.
     """
+    store.small_batches(docs.sparkSession)
     docs = docs.select("text")
     rows = docs.mapInArrow(lambda b: _occurrences(b, min_tokens), LINES)
     rows = rows.repartition("leaf").sortWithinPartitions("leaf")
@@ -453,4 +454,5 @@ def drop_lines(docs: DataFrame, recurring: DataFrame, broadcast_lines: int = 2_0
 def dedup_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.7, min_tokens: int = 3, counts: bool = True) -> DataFrame:
     """All documents, each without its recurring lines; with ``n_lines`` and ``n_dropped`` unless ``counts`` is false."""
     hot = store.save(recurring_lines(docs, min_docs, similarity, min_tokens), "recurring")
-    return drop_lines(docs, hot, counts=counts)
+    out = drop_lines(docs, hot, counts=counts)
+    return out

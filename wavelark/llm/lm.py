@@ -96,7 +96,7 @@ def spelling(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches):
-    for b in batches:
+    for b in tx.gather(batches, "text"):
         held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         n = 0
         for part in tx.slices(iter([b]), "text"):
@@ -112,11 +112,12 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(u, np.uint64(0)).view(np.int64)), pa.array(np.append(c, n))], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame, size: int = 4096, classes: int = 64) -> Vocabulary:
+def vocabulary(docs: DataFrame, size: int = 4096, classes: int = 32) -> Vocabulary:
     """The ``size`` most frequent words of all documents, in classes of equal mass of the root of the frequency.
 
     The row of hash 0 counts documents, that is ends.
     """
+    store.small_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = store.save(counts, "words")
     total = counts.agg(F.sum(F.when(F.col("word") != 0, F.col("n"))), F.max(F.when(F.col("word") == 0, F.col("n")))).first()
@@ -383,7 +384,7 @@ def of_round(text: Column, k: int, rounds: int) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(rounds)) == k
 
 
-def fit(docs: DataFrame, width: int = 16, size: int = 4096, classes: int = 64, rounds: int = 2, rate: float = 0.2) -> tuple[dict, Vocabulary]:
+def fit(docs: DataFrame, width: int = 16, size: int = 4096, classes: int = 32, rounds: int = 2, rate: float = 0.2) -> tuple[dict, Vocabulary]:
     """A model of the documents: every document trains in one of ``rounds`` rounds, after each of which the tasks' models are averaged.
 
     Its entry ``S`` has the log-probabilities of ``spelling``.
@@ -405,7 +406,7 @@ def fit(docs: DataFrame, width: int = 16, size: int = 4096, classes: int = 64, r
                 if len(s):
                     np.add.at(spelled, _spelled(buf, s, e)[0], 1)
 
-            for b in batches:
+            for b in tx.gather(batches, "text"):
                 ids, offs = _ids(b, voc, unknown)
                 seen += train(model, memory, voc, ids, offs, rate)
             kinds = ["part", "block", "seen", "data", "code", "n"]
@@ -459,7 +460,7 @@ def log_likelihood(docs: DataFrame, m: dict, v: Vocabulary) -> DataFrame:
     def work(batches):
         model, voc = held.value
         table = model.get("S")
-        for b in batches:
+        for b in tx.gather(batches, "text"):
             spelled = np.zeros(b.num_rows)
 
             def unknown(buf, s, e, row, spelled=spelled):

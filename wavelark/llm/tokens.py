@@ -14,11 +14,12 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from . import store
 from . import text as tx
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 1_500_000
+CACHE = 700_000
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _KIND: list[np.ndarray] = []
 _ENCODERS: dict[str, Encoder] = {}
@@ -142,6 +143,7 @@ def encoder(path: str = VOCABULARY) -> Encoder:
 
 def lengths(docs, key: str = "doc_id", vocabulary: str = VOCABULARY):
     """Rows (key, n_ids long): ids in every document's text; a null text has none."""
+    store.small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batches):

@@ -268,6 +268,8 @@ def neighbours(vectors: DataFrame, k: int = 10, queries: Column | None = None, b
     schema = f"block long, ids array<{kind}>, cells binary, dists binary, asks binary, data binary"
     blocks = store.save(in_blocks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_block, schema), "blocks")
 
+    store.drop(placed)
+
     def ranges(batches):
         for b in batches:
             for j in range(b.num_rows):
