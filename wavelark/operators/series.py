@@ -147,6 +147,32 @@ def training_window(df: DataFrame, keys: list[str], time: str, nows: DataFrame,
     return rows.join(wide, "position")
 
 
+def gains(df: DataFrame, keys: list[str], model: str, base: str, errors: list[str], similarities: list[str]) -> DataFrame:
+    """Each model against the base model of its keys: base error over error, and (1 - base) over (1 - own) of similarities; null where that is over 0."""
+    own = df.where(F.col(model) == base).select(*keys, *[F.col(c).alias(f"_{c}") for c in (*errors, *similarities)])
+    both = df.join(own, keys)
+    ratio = [F.try_divide(f"_{c}", c).alias(c) for c in errors] + [F.try_divide(1 - F.col(f"_{c}"), 1 - F.col(c)).alias(c) for c in similarities]
+    return both.select(*keys, model, *ratio)
+
+
+def resize(df: DataFrame, time: str, value: str, first: str, last: str) -> DataFrame:
+    """Rows of every day from ``first`` to ``last``: those outside are cut off, absent ones are 0; none if the bounds are crossed."""
+    spark = df.sparkSession
+    if first > last:
+        return df.select(time, value).limit(0)
+    axis = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias(time))
+    inside = df.where(F.col(time).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return axis.join(inside, time, "left").select(time, F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def trim_for_fit(df: DataFrame, target: str, columns: list[str], least: float, rows: int) -> DataFrame:
+    """Rows with a target and at least ``least`` of the columns neither null nor 0; an error (when it runs) if fewer than ``rows`` are left."""
+    good = sum((F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, 1).otherwise(0) for c in columns), F.lit(0))
+    kept = df.where(F.col(target).isNotNull() & (good >= least * len(columns)))
+    n = kept.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") >= rows, F.lit(True)).otherwise(F.raise_error(F.lit("too few rows left")).cast("boolean")).alias("_ok"))
+    return kept.crossJoin(F.broadcast(n)).where("_ok").drop("_ok")
+
+
 def metrics_mean(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Sums of numeric columns and the same divided by the number of rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"{c}_sum") for c in columns], *[(F.sum(c) / F.count("*")).alias(f"{c}_mean") for c in columns])

@@ -160,3 +160,22 @@ def geojson(rows: DataFrame, keys: list[str], order: str, lon: F.Column, lat: F.
     feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))
     held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), feature.alias("f")))).alias("held"))
     return held.select(*keys, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("held", lambda x: x["f"]).alias("features"))).alias("json"))
+
+
+def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of tab-separated files up to each file's first blank line; nothing between tabs is null."""
+    from pyspark.sql import types as T
+
+    lines = _numbered(spark, path).withColumn("blank", F.trim("line") == "")
+    first = lines.where("blank").groupBy("file").agg(F.min("row").alias("stop"))
+    kept = lines.join(first, "file", "left").where(F.col("stop").isNull() | (F.col("row") < F.col("stop")))
+    parts = F.split("line", "\t")
+    fields = T._parse_datatype_string(schema).fields
+    return kept.select(*[F.nullif(F.get(parts, F.lit(k)), F.lit("")).try_cast(f.dataType).alias(f.name) for k, f in enumerate(fields)])
+
+
+def month_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Counts (ngram, day, n) of a folder of page-count files: ``project article`` with '_' for an encoded space."""
+    rows = page_counts(spark, path)
+    name = F.concat_ws(" ", "project", F.replace("url", F.lit("%20"), F.lit("_")))
+    return rows.groupBy(name.alias("ngram"), F.to_date("hour").alias("day")).agg(F.sum("count").alias("n"))
