@@ -220,3 +220,17 @@ def test_resize_and_trim(spark):
     assert sorted(r.y for r in R.trim_for_fit(rows, "y", ["a", "b"], 0.5, 2).collect()) == [1.0, 3.0]
     with pytest.raises(Exception, match="too few rows"):
         R.trim_for_fit(rows, "y", ["a", "b"], 1.0, 2).collect()
+
+
+def test_sheets(spark, tmp_path):
+    (tmp_path / "v.tsv").write_text("t\tflu$norm\tcold\n2020-01-01\t\t1\n2020-01-02\t2\tNaN\n2020-01-03\t\t3\n2020-01-04\t6\t\n")
+    got = {(r.name, r.period.day): r.v for r in files.vectors_tsv(spark, str(tmp_path / "v.tsv")).collect()}
+    assert got == {("flu", 1): 0, ("flu", 2): 2, ("flu", 3): 4, ("flu", 4): 6, ("cold", 1): 1, ("cold", 2): 2, ("cold", 3): 3, ("cold", 4): 0}
+    truth = spark.createDataFrame([("2020-01-03",)], "period string").withColumn("period", F.to_date("period"))
+    assert {(r.name, r.v) for r in files.vectors_tsv(spark, str(tmp_path / "v.tsv"), truth).collect()} == {("flu", 4), ("cold", 3)}
+    (tmp_path / "h.csv").write_text("date,flu,Influenza (Disease),rare\n2020-01-05,10000000,0,0\n2020-01-12,0,20000000,0\n2020-01-19,0,0,1\n2020-01-26,1,1,0\n")
+    got = {(r.kind, r.name) for r in files.trends_csv(spark, str(tmp_path / "h.csv")).collect()}
+    assert got == {("raw", "flu"), ("topic", "Influenza (Disease)")} and files.trends_csv(spark, str(tmp_path / "h.csv")).agg(F.max("v")).first()[0] == 2.0
+    (tmp_path / "k.txt").write_text("# all\nFlu\ncold # x\n\nflu\n")
+    words, digest = files.keywords(spark, str(tmp_path / "k.txt"))
+    assert words == ["cold", "flu"] and len(digest) == 32

@@ -76,11 +76,14 @@ def project_domain(c: Column) -> Column:
     return F.concat(part[0], F.lit("."), F.coalesce(F.try_element_at(table, F.get(part, F.lit(1))), F.lit("wikipedia")), F.lit(".org"))
 
 
-def to_query(c: Column, accents: bool = True) -> Column:
-    """A search query from an article name: no parenthesis, accents or marks, in lower case."""
+def to_query(c: Column, accents: bool = True, phrases: list[str] | None = None) -> Column:
+    """A search query from an article name: no parenthesis, accents or marks, in lower case, without the ``phrases``."""
     c = F.regexp_replace(url_decode(c), r"\s*\([^)]*\)", "")
     c = F.lower(strip_accents(c) if accents else c)
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9' -]", ""), r"\s+", " "))
+    c = F.regexp_replace(c, r"[^a-z0-9' -]", "")
+    for p in phrases or []:
+        c = F.replace(c, F.lit(p), F.lit(""))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def alias(c: Column) -> Column:

@@ -15,6 +15,12 @@ def hourly(events: DataFrame, project: str, article: str, ts: str, value: Column
     return events.groupBy(F.col(project).cast("string").alias("project"), F.col(article).cast("string").alias("article"), F.date_trunc("hour", ts).alias("hour")).agg((F.sum(value) if value is not None else F.count("*")).cast("double").alias("v"))
 
 
+def hourly_pages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From page-count lines (project, url, hour, count): each article's count at an hour, of repeated lines the largest, and each project's total over all lines."""
+    articles = lines.groupBy("project", F.col("url").alias("article"), "hour").agg(F.max("count").cast("double").alias("v"))
+    return articles, lines.groupBy("project", "hour").agg(F.sum("count").cast("double").alias("total"))
+
+
 def totals(series: DataFrame) -> DataFrame:
     """Project totals by hour; hours without lines have no row."""
     return series.groupBy("project", "hour").agg(F.sum("v").alias("total"))

@@ -317,3 +317,49 @@ def merged_maps(t):
     maps = [m.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(c)) for m, c in zip(maps, "ab")]
     both = maps[0].join(maps[1], "project", "full")
     return both.select("project", F.explode(S.merge_maps(F.col("a"), F.col("b"))).alias("k", "v")).withColumn("v", F.concat_ws("+", F.sort_array("v").cast("array<string>")))
+
+
+@query("""WITH d AS (SELECT (DATE '2024-01-01' + (conv_id % 10)::INT * 2)::DATE AS day, count(*) AS n FROM conversations WHERE regexp_matches(text, '(?i)\\bth[a-z]*ing\\b') GROUP BY 1)
+  SELECT g::DATE AS day, coalesce(n, 0) AS n FROM generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY) s(g) LEFT JOIN d ON d.day = g::DATE""")
+def grep_days(t):
+    """Texts that match an expression by day (every other day has some), zeros between the first and the last."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 10 * 2).cast("int"))
+    d = t.conversations.where(F.col("text").rlike(r"(?i)\bth[a-z]*ing\b")).groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    return R.densify(d.withColumn("k", F.lit(1)), ["k"], "day", "1 DAY", {"n": 0}).select("day", "n")
+
+
+PAGES = "SELECT event_type AS project, 'P' || user_id AS url, date_trunc('hour', ts) AS hour, floor(value)::BIGINT AS count FROM events"
+
+
+@query(f"""WITH l AS ({PAGES}), a AS (SELECT project, url AS article, hour, max(count)::DOUBLE AS v FROM l GROUP BY ALL), p AS (SELECT project, hour, sum(count)::DOUBLE AS total FROM l GROUP BY ALL)
+  SELECT a.project, a.article, a.hour, a.v, p.total FROM a JOIN p ON p.project = a.project AND p.hour = a.hour""")
+def page_vectors(t):
+    """Articles' counts at an hour (of repeated lines the largest) beside their project's total of all lines."""
+    lines = t.events.select(F.col("event_type").alias("project"), F.concat(F.lit("P"), "user_id").alias("url"), F.date_trunc("hour", "ts").alias("hour"), F.floor("value").alias("count"))
+    articles, totals = R.hourly_pages(lines)
+    return articles.join(totals, ["project", "hour"]).select("project", "article", "hour", "v", "total")
+
+
+@query("""SELECT o_custkey, CASE WHEN count(*) >= 3 THEN round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 5) END AS r FROM (SELECT o_custkey, o_totalprice AS a,
+  (o_orderkey % 5)::DOUBLE AS b FROM orders) GROUP BY 1""")
+def pearson_undefined(t):
+    """Correlations that stay null where they aren't defined."""
+    o = t.orders.select("o_custkey", F.col("o_totalprice").alias("a"), (F.col("o_orderkey") % 5).cast("double").alias("b"))
+    return o.groupBy("o_custkey").agg(F.round(R.pearson(F.col("a"), F.col("b"), default=None), 5).alias("r"))
+
+
+@query("""SELECT day, n, round(100 * 3 * (0.5 + date_diff('day', DATE '2024-01-01', day) / 30.0 * 0.5), 4) AS expected, n >= 0.5 * 100 * 3 * (0.5 + date_diff('day', DATE '2024-01-01', day) / 30.0 * 0.5) AS enough
+  FROM (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE value > 35 GROUP BY 1)""")
+def enough_data(t):
+    """Days with at least half of the count that is expected of them, by a line through two dates."""
+    d = t.events.where("value > 35").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    e = N.expected_count(F.col("day"), [("2024-01-01", 0.5), ("2024-01-31", 1.0)], 3.0)
+    return d.select("day", "n", F.round(e, 4).alias("expected"), (F.col("n") >= 0.5 * e).alias("enough"))
+
+
+@query("""SELECT n_nationkey, n.n_name || ' (' || r_name || ')' AS article, trim(regexp_replace(replace(regexp_replace(lower(replace(n.n_name, '_', ' ')), '[^a-z0-9'' -]', '', 'g'), 'nation', ''), '\\s+', ' ', 'g')) AS query
+  FROM nation n JOIN region ON n_regionkey = r_regionkey""")
+def article_queries(t):
+    both = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    article = F.concat("n_name", F.lit(" ("), "r_name", F.lit(")"))
+    return both.select("n_nationkey", article.alias("article"), S.to_query(article, phrases=["nation"]).alias("query"))

@@ -179,3 +179,35 @@ def month_folder(spark: SparkSession, path: str) -> DataFrame:
     rows = page_counts(spark, path)
     name = F.concat_ws(" ", "project", F.replace("url", F.lit("%20"), F.lit("_")))
     return rows.groupBy(name.alias("ngram"), F.to_date("hour").alias("day")).agg(F.sum("count").alias("n"))
+
+
+def vectors_tsv(spark: SparkSession, path: str, truth: DataFrame | None = None) -> DataFrame:
+    """Rows (name, period, v) of a wide sheet of series by period, ``$norm`` stripped from the names.
+
+    Inner gaps are interpolated, outer ones 0; with ``truth`` (a column ``period``) only its periods are kept.
+    """
+    from ..operators import series as R
+
+    wide = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    period, *names = wide.columns
+    clean = wide.toDF(period, *[n.removesuffix("$norm") for n in names])
+    long = clean.unpivot([period], clean.columns[1:], "name", "v").select("name", F.to_date(period).alias("period"), F.col("v").try_cast("double").alias("v"))
+    long = R.interpolate(long.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), ["name"], "period", "v")
+    return long.join(truth.select("period").distinct(), "period", "left_semi") if truth is not None else long
+
+
+def trends_csv(spark: SparkSession, path: str, scale: float = 1e7, most: float = 2 / 3) -> DataFrame:
+    """Rows (kind, name, day, v) of a sheet of search shares: columns of more than ``most`` zeros are left out, a name that ends in ')' is a topic."""
+    wide = spark.read.csv(path, header=True, inferSchema=False)
+    day, *names = wide.columns
+    long = wide.unpivot([day], names, "name", "v").select("name", F.to_date(day).alias("day"), (F.col("v").try_cast("double") / scale).alias("v"))
+    kept = long.groupBy("name").agg(F.avg((F.coalesce("v", F.lit(0.0)) == 0).cast("int")).alias("zeros")).where(F.col("zeros") <= most).select("name")
+    return long.join(kept, "name").select(F.when(F.endswith("name", F.lit(")")), "topic").otherwise("raw").alias("kind"), "name", "day", "v")
+
+
+def keywords(spark: SparkSession, path: str) -> tuple[list[str], str]:
+    """The distinct keywords of a file, sorted, and an MD5 of them. Such a list is short: a stream takes a few hundred."""
+    import hashlib
+
+    words = sorted(r[0] for r in spark.read.text(path).select(S.keyword(F.col("value")).alias("k")).where("k IS NOT NULL").distinct().collect())
+    return words, hashlib.md5("\n".join(words).encode()).hexdigest()
