@@ -35,6 +35,12 @@ def shard(c: Column, n: int) -> Column:
     return (fnv1a_32(c) % n).cast("int")
 
 
+def portable_hash(c: Column, seed: int = 1) -> Column:
+    """A hash below 2^31 - 1 of a whole number, by arithmetic that any engine has and that can't overflow."""
+    low, high = F.pmod(c, F.lit(65536)), F.pmod(F.shiftright(c, 16), F.lit(2147483647))
+    return (low * 40503 + high * 65599 + seed * 97) % 2147483647 * 48271 % 2147483647
+
+
 def consecutive(c: Column, low: float, high: float, n: int) -> Column:
     """Which of n equal bins between low and high."""
     return F.greatest(F.least(F.floor((c - low) / ((high - low) / n)), F.lit(n - 1)), F.lit(0)).cast("int")

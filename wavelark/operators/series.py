@@ -193,7 +193,7 @@ def select_slices(df: DataFrame, keys: list[str], order: list[Column], text: str
 
 def sample_hash(df: DataFrame, key: str, fraction: float | None = None, n: int | None = None, seed: int = 1) -> DataFrame:
     """A repeatable sample by a hash of the key that any engine can compute: each row with probability ``fraction``, or exactly ``n`` rows."""
-    h = (F.col(key) % 65536 * 40503 + F.floor(F.col(key) / 65536) * 2654435761 + seed * 97) * 48271 % 2147483647
+    h = N.portable_hash(F.col(key), seed)
     if fraction is not None:
         return df.where(h % 1000003 < int(fraction * 1000003))
     return df.orderBy(h, key).limit(n)

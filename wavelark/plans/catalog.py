@@ -72,9 +72,9 @@ def first_per_user(t):
     return first.join(t.events.where("event_type = 'error' and value > 60").select("user_id").distinct(), "user_id", "left_anti").select("user_id", "event_id")
 
 
-@query("SELECT event_id, (event_id * 2654435761 % 4294967296) < 2147483648 AS first_half FROM events")
+@query("SELECT event_id, ((event_id % 65536 * 40503 + (event_id >> 16) % 2147483647 * 65599 + 97) % 2147483647 * 48271 % 2147483647) < 1073741824 AS first_half FROM events")
 def halves(t):
-    return t.events.select("event_id", ((F.col("event_id") * F.lit(2654435761) % F.lit(4294967296)) < F.lit(2147483648)).alias("first_half"))
+    return t.events.select("event_id", (N.portable_hash(F.col("event_id")) < 1073741824).alias("first_half"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem

@@ -123,7 +123,7 @@ def column_normalise(t):
     return t.orders.join(s, "o_orderpriority").select("o_orderkey", F.round((F.col("o_totalprice") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
-HASHED = "((event_id % 65536 * 40503 + event_id // 65536 * 2654435761 + 97) * 48271 % 2147483647)"
+HASHED = "((event_id % 65536 * 40503 + (event_id >> 16) % 2147483647 * 65599 + 97) % 2147483647 * 48271 % 2147483647)"
 
 
 @query(f"SELECT event_id, user_id FROM events ORDER BY {HASHED}, event_id LIMIT 100")
