@@ -113,11 +113,8 @@ def brute_ppm(texts, alphabet, order, min_count, nodes, text):
     return bits
 
 
-def test_language_brute_force():
-    rng = random.Random(20)
-    texts = {"en": [prose(rng, 30) for _ in range(6)], "fr": [prose(rng, 30, "le la une été où garçon dans".split()) for _ in range(6)]}
-    order, min_count = 3, 4
-    m = langid.fit(texts, order, min_count)
+def brute_nodes(texts, order, min_count):
+    """The bytes seen, and the contexts of the tree."""
     alphabet = sorted({b for own in texts.values() for t in own for b in t.lower().encode()} | {10})
     nodes = {b""}
     for k in range(1, order + 1):
@@ -129,6 +126,15 @@ def test_language_brute_force():
                 c.update(raw[i - k : i] for i in range(order, len(raw)))
             kept |= {ctx for ctx, x in c.items() if x >= min_count}
         nodes |= {ctx for ctx in kept if ctx[1:] in nodes}
+    return alphabet, nodes
+
+
+def test_language_brute_force():
+    rng = random.Random(20)
+    texts = {"en": [prose(rng, 30) for _ in range(6)], "fr": [prose(rng, 30, "le la une été où garçon dans".split()) for _ in range(6)]}
+    order, min_count = 3, 4
+    m = langid.fit(texts, order, min_count)
+    alphabet, nodes = brute_nodes(texts, order, min_count)
     tests = [prose(rng, 20), "où est le GARÇON", "\x01漢字 zz", "a"]
     got = langid.code_lengths(m, *tx.flat(pa.array(tests)))
     for k, t in enumerate(tests):
@@ -853,6 +859,56 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got[4].collect()))
 
 
+def test_pipeline_brute_force(spark, tmp_path):
+    """Every stage's rows as plain Python has them: code lengths byte by byte, the line tree, all pairs of n-gram sets, whole alignments, ids one text at a time."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(1500)]
+    items = [" ".join(rng.choice(words) for _ in range(25)) for _ in range(3)]
+    texts = []
+    for k in range(24):
+        body = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(5)]
+        if k % 3 == 0:
+            body.insert(2, f"Posted on day {k} by member {k + 5} of the forum")
+        if k in (5, 11):
+            body.append(items[k % 3].upper() if k == 5 else items[k % 3])
+        texts.append("\n".join(body))
+    texts += [texts[1], edited(rng, texts[2], 3), texts[4].upper(), "".join(chr(rng.randrange(0x3000, 0x9000)) for _ in range(300)), "", None]
+    langs = ["en"] * 27 + [None] * 3
+    spark.createDataFrame([(k, t, l, "s", len(t or "")) for k, (t, l) in enumerate(zip(texts, langs))], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    known = [t for t, l in zip(texts, langs) if l]
+    alphabet, nodes = brute_nodes({"en": known}, 4, 6)
+    want = {k: t for k, t in enumerate(texts) if t and brute_ppm(known, alphabet, 4, 6, nodes, t) <= 5 * len(t.encode())}
+    stages = [dict(want)]
+    want = dict(zip(want, brute_lines(list(want.values()))))
+    stages.append(dict(want))
+    keys = list(want)
+    want = {k: want[k] for k, r in zip(keys, brute_jaccard(list(want.values()), 0.5)) if keys[r] == k}
+    stages.append(dict(want))
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in t.lower().split()])
+    want = {k: t for k, t in want.items() if all(sw(code(t), code(i)) < 0.4 * 2 * len(i.split()) for i in items)}
+    stages.append(dict(want))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for (_, stage), rows in zip(corpus_pipeline.STAGES, [*stages, None]):
+        out = stage(spark, now, str(tmp_path))
+        now = spark.createDataFrame(out.collect(), out.schema)
+        if rows is not None:
+            assert {r.doc_id: r.text for r in now.collect()} == rows
+    assert len(stages[0]) == 27 and len(stages[2]) == 24 and len(stages[3]) == 22 and stages[1] != stages[0]
+    lengths = {k: len(tokens.encoder().plain.encode_ordinary(t)) for k, t in want.items()}
+    packed = now.toPandas()
+    assert packed.groupby("doc_id").length.sum().to_dict() == lengths and packed.groupby("pack_id").length.sum().max() <= 2048
+    packs = []
+    for n in sorted(lengths.values(), reverse=True):
+        short = min((p for p in packs if sum(p) < 2048), key=sum, default=None)
+        packs.append([n]) if short is None or sum(short) + n > 2048 else short.append(n)
+    assert packed.pack_id.nunique() == len(packs)
+
+
 def test_pipeline_defined_cases(spark, tmp_path):
     """Empty tables, null and repeated ids, and columns named like the stages' own."""
     import corpus_pipeline
