@@ -59,7 +59,7 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Split batches between rows so that each holds about ``size`` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
         offs = flat(batch.column(column))[1]
