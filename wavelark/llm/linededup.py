@@ -180,44 +180,45 @@ def templates(tokens: np.ndarray, similarity: float, indexed: bool = True) -> tu
     size = tokens.shape[1]
     made = np.zeros((4, size), np.uint16)
     n, out = 0, np.zeros(len(tokens), np.int64)
-    cuts = np.linspace(0, size, size - int(np.ceil(similarity * size - 1e-9)) + 2).astype(int)
-    parts = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
-    indexed = indexed and len(tokens) > 32 and len(parts) == len(cuts) - 1
+    # places where all lines agree (the leaf's leading tokens are) tell nothing apart
+    cols = np.flatnonzero((tokens != tokens[:1]).any(0))
+    count = size - int(np.ceil(similarity * size - 1e-9)) + 1
+    indexed = indexed and len(tokens) > 64 and len(cols) >= 2 * count
+    cuts = np.linspace(0, len(cols), count + 1).astype(int).tolist() if indexed else []
+    parts = list(zip(range(count), cuts[:-1], cuts[1:]))
     index: dict[tuple, list[int]] = {}
     for k, t in enumerate(tokens):
         best = -1
-        if n:
-            if indexed:
-                keys = [(j, t[lo:hi].tobytes()) for j, lo, hi in parts]
-                found = set()
-                for key in keys:
-                    found.update(index.get(key, ()))
-                some = np.array(sorted(found), np.int64)
-            else:
-                some = np.arange(n)
-            if len(some):
-                same = ((made[some] == t) & (t > 0)).sum(1)
-                at = int(same.argmax())
-                best = int(some[at]) if same[at] >= similarity * size else -1
+        if indexed:
+            raw = t[cols]
+            found: set[int] = set()
+            for j, lo, hi in parts:
+                found.update(index.get((j, raw[lo:hi].tobytes()), ()))
+            some = np.array(sorted(found), np.int64)
+        else:
+            some = np.arange(n)
+        if len(some):
+            same = ((made[some] == t) & (t > 0)).sum(1)
+            at = int(same.argmax())
+            if same[at] >= similarity * size:
+                best = int(some[at])
         if best < 0:
             if n == len(made):
                 made = np.concatenate([made, np.zeros_like(made)])
             made[n], best, n = t, n, n + 1
-            changed = np.ones(size, bool)
-            old = None
+            if indexed:
+                for j, lo, hi in parts:
+                    if raw[lo:hi].all():
+                        index.setdefault((j, raw[lo:hi].tobytes()), []).append(best)
         else:
             changed = made[best] != t
-            old = made[best].copy()
+            if indexed and changed[cols].any():
+                # what becomes variable is in no equal segment any more
+                old = made[best][cols]
+                for j, lo, hi in parts:
+                    if changed[cols[lo:hi]].any() and old[lo:hi].all():
+                        index[j, old[lo:hi].tobytes()].remove(best)
             made[best][changed] = 0
-        if indexed and changed.any():
-            now = made[best]
-            for j, lo, hi in parts:
-                if not changed[lo:hi].any():
-                    continue
-                if old is not None and (old[lo:hi] > 0).all():
-                    index[j, old[lo:hi].tobytes()].remove(best)
-                if (now[lo:hi] > 0).all():
-                    index.setdefault((j, now[lo:hi].tobytes()), []).append(best)
         out[k] = best
     return out, made[:n]
 
