@@ -87,7 +87,7 @@ def test_sessions(spark, tmp_path):
 
 
 def test_month_store(spark, tmp_path):
-    s = live.MonthStore(spark, str(tmp_path), ["k"], 10)
+    s = live.MonthStore(spark, str(tmp_path / "m"), ["k"], 10)
 
     def counts(*rows):
         return spark.createDataFrame(rows, "month string, k string, n long").withColumn("month", F.to_date("month"))
@@ -97,6 +97,13 @@ def test_month_store(spark, tmp_path):
     assert sorted((r.k, r.n) for r in s.read().collect()) == [("a", 12), ("b", 3), ("c", 1)]
     assert s.update(counts(("2024-01-01", "b", 4), ("2024-02-01", "d", 2), ("2024-02-01", "e", 20)), True) == {"2024-01-01": 2, "2024-02-01": 3}
     assert sorted((r.k, r.n) for r in s.read().collect()) == [("a", 12), ("e", 20)]
+    # another process finds what is there, and a numbered update counts once
+    s = live.MonthStore(spark, str(tmp_path / "m"), ["k"], 10)
+    assert s.strategy("2024-02-01", False) == 0 and s.strategy("2024-03-01", True) == 3
+    for _ in range(2):
+        s.update(counts(("2024-03-01", "f", 5)), False, 7)
+    s.update(counts(("2024-03-01", "f", 6)), False, 8)
+    assert sorted((r.k, r.n) for r in s.read().collect()) == [("a", 12), ("e", 20), ("f", 11)]
     hours = spark.createDataFrame([("2024-01-31 23:00:00",), ("2024-02-29 22:00:00",)], "hour string").select(F.to_timestamp("hour").alias("hour"))
     assert {str(r.month): r.closed for r in live.month_closed(hours, "hour").collect()} == {"2024-01-01": True, "2024-02-01": False}
 

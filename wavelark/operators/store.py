@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import numbers as N
 
 SCHEMA = "name string, total double, data array<double>, fragment date, shard int"
@@ -27,12 +28,9 @@ class SeriesStore:
         self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
 
     def _generations(self) -> list[int]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        names = [n for n in shared.children(self.spark, self.path) if n[:1] == "g" and n[1:].isdigit()]
         # the first grows month by month; later ones count once they are written whole
-        ok = lambda n: n == "g0" or fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"{n}/_SUCCESS"))
-        return sorted(int(n[1:]) for n in names if n[:1] == "g" and n[1:].isdigit() and ok(n))
+        return sorted(int(n[1:]) for n in names if n == "g0" or shared.whole(self.spark, f"{self.path}/{n}"))
 
     def _write(self, frags: DataFrame, generation: int, mode: str = "dynamic") -> None:
         rows = frags.select("name", "total", "data", "fragment", "shard").repartition("fragment", "shard").sortWithinPartitions("fragment", "shard", "name")

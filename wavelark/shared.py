@@ -24,3 +24,15 @@ def path(spark: SparkSession, name: str) -> str:
 def delete(spark: SparkSession, where: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(where)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def children(spark: SparkSession, where: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(where)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def whole(spark: SparkSession, where: str) -> bool:
+    """Whether a table was written to its end."""
+    return "_SUCCESS" in children(spark, where)
