@@ -265,6 +265,55 @@ def test_templates_index():
     assert linededup.templates(tie, 0.7)[0].tolist() == [0, 1, 0]
 
 
+def test_templates_full():
+    """Lines and templates with too many variable places for any line are left out of the search, which changes nothing."""
+    rng = np.random.default_rng(23)
+    for size, variable in ((5, 1), (10, 2), (10, 4), (20, 3)):
+        t = rng.integers(1, 6, (400, size)).astype(np.uint16)
+        t[:, 1 : 1 + variable] = 0
+        t[rng.random(t.shape) < 0.05] = 0
+        a, b = linededup.templates(t, 0.7), linededup.templates(t, 0.7, False)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def test_line_dedup_thinning(monkeypatch):
+    """Signatures that come in many batches are thinned out in work in proportion to their number, with the result of comparing one by one."""
+    rng = np.random.default_rng(24)
+    n = 60_000
+    sign = rng.integers(1, 250, (n, linededup.BINS)).astype(np.uint8)
+    sign[n // 2 :] = sign[: n // 2]
+    sign = np.concatenate([sign, sign], axis=1)
+    of = np.tile(rng.integers(0, n // 8, n // 2), 2)
+    seen, thinned = [], linededup._thinned
+    monkeypatch.setattr(linededup, "_thinned", lambda of, sign, most: seen.append(len(of)) or thinned(of, sign, most))
+    (out,) = linededup._combined(((of[k : k + 500], sign[k : k + 500]) for k in range(0, n, 500)), 5)
+    assert sum(seen) <= 6 * n
+    kinds = Counter(of[: n // 2].tolist())
+    assert Counter(out.column("template").to_pylist()) == {t: min(5, c) for t, c in kinds.items()}
+    # against one document at a time, in the order of the signatures' hashes
+    of, sign = of[:3000] % 40, sign[:3000].copy()
+    sign[rng.random(sign.shape) < 0.6] = 0
+    order = np.lexsort((tx.mix((sign * tx._power(128)[:128]).sum(1, dtype=np.uint64)), of))
+    want = {}
+    for k in order:
+        kept = want.setdefault(int(of[k]), [])
+        alike = [any(((p == q) & (p > 0)).sum() >= 0.1 * ((p > 0) | (q > 0)).sum() for p, q in ((sign[j, 64:], sign[k, :64]), (sign[j, :64], sign[k, 64:]))) for j in kept]
+        if len(kept) < 5 and not any(alike):
+            kept.append(int(k))
+    assert sorted(thinned(of, sign, 5).tolist()) == sorted(k for kept in want.values() for k in kept)
+
+
+def test_line_dedup_few_trigrams_outside(spark):
+    """A document with one trigram outside of a long common line isn't even like itself, and hides no other one."""
+    rng = random.Random(25)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]
+    line = " ".join(words[-18:])
+    texts = ["\n".join([f"{line} {words[k]}", *words[20 * k + 20 : 20 * k + 29], " ".join(words[20 * k + 29 : 20 * k + 32])]) for k in range(12)]
+    want = brute_lines(texts)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(12)] == want and not any(line in t for t in want)
+
+
 def test_line_dedup_distinct_documents(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]

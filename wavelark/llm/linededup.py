@@ -63,6 +63,7 @@ COPY = 1 / 10
 OUTSIDE = 1 / 3
 LEAD = 3
 FIXED = 0.5
+STEP = 1 << 14
 _WILD = np.uint64(0x5BD1E995)
 LINES = "leaf long, line long, tokens binary, n_docs long"
 
@@ -158,45 +159,56 @@ def _occurrences(batches, min_tokens: int):
 
 
 def _alike(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return ((q == p) & (p > 0)).sum(1) >= COPY * ((q > 0) | (p > 0)).sum(1)
+    """Of each row of ``p``, whether it is alike the same row of ``q``; up to 255 columns."""
+    both, either = ((q == p) & (p > 0)).view(np.uint8), ((q | p) > 0).view(np.uint8)
+    return both.sum(1, dtype=np.uint8) >= COPY * either.sum(1, dtype=np.uint8)
 
 
-def _apart(signs: np.ndarray, most: int) -> list[int]:
-    """Up to ``most`` rows of ``signs`` no two of which are copies."""
-    left, kept = np.arange(len(signs)), []
-    while len(left) and len(kept) < most:
-        p, q = signs[left[0]], signs[left]
-        kept.append(int(left[0]))
-        left = left[~(_alike(p[BINS:], q[:, :BINS]) | _alike(p[:BINS], q[:, BINS:]))]
-    return kept
+def _copies(sign: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the documents of rows ``a`` of ``sign`` are copies of those of rows ``b``."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), STEP):
+        p, q = sign[a[lo : lo + STEP]], sign[b[lo : lo + STEP]]
+        out[lo : lo + STEP] = _alike(p[:, BINS:], q[:, :BINS]) | _alike(p[:, :BINS], q[:, BINS:])
+    return out
 
 
 def templates(tokens: np.ndarray, similarity: float, indexed: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The template of each line (rows of equal length, 0 = variable), in the order in which they come, and all templates.
 
     A line that a template takes differs from it in at most (1 - ``similarity``) of the places, so of one segment more than that number at least one is equal in all
-    places and none of these variable. An index of the templates' segments gives all that can take a line; ``indexed`` = False compares with every template, with the same result.
+    places and none of these variable. An index of the templates' segments gives all that can take a line. A template with too many variable places takes no line any more and is
+    left out, as is the search for a line with too many. ``indexed`` = False compares with every template, with the same result.
     """
     size = tokens.shape[1]
     made = np.zeros((4, size), np.uint16)
     n, out = 0, np.zeros(len(tokens), np.int64)
     # places where all lines agree (the leaf's leading tokens are) tell nothing apart
     cols = np.flatnonzero((tokens != tokens[:1]).any(0))
-    count = size - int(np.ceil(similarity * size - 1e-9)) + 1
-    indexed = indexed and len(tokens) > 64 and len(cols) >= 2 * count
+    need = int(np.ceil(similarity * size - 1e-9))
+    # nor do places that are variable in all lines, and none is equal there
+    count = int((tokens > 0).any(0).sum()) - need + 1
+    every = not indexed
+    indexed = indexed and len(tokens) > 64 and len(cols) >= count > 0
+    fixed = (tokens > 0).sum(1).tolist()
+    live: dict[int, int] = {}  # templates that can take a line, in the order in which they were founded, and the number of their fixed places
     cuts = np.linspace(0, len(cols), count + 1).astype(int).tolist() if indexed else []
     parts = list(zip(range(count), cuts[:-1], cuts[1:]))
     index: dict[tuple, list[int]] = {}
     for k, t in enumerate(tokens):
         best = -1
-        if indexed:
+        if every:
+            some = np.arange(n)
+        elif fixed[k] < need:
+            some = np.zeros(0, np.int64)
+        elif indexed:
             raw = t[cols]
             found: set[int] = set()
             for j, lo, hi in parts:
                 found.update(index.get((j, raw[lo:hi].tobytes()), ()))
             some = np.array(sorted(found), np.int64)
         else:
-            some = np.arange(n)
+            some = np.fromiter(live, np.int64, len(live))
         if len(some):
             same = ((made[some] == t) & (t > 0)).sum(1)
             at = int(same.argmax())
@@ -206,18 +218,27 @@ def templates(tokens: np.ndarray, similarity: float, indexed: bool = True) -> tu
             if n == len(made):
                 made = np.concatenate([made, np.zeros_like(made)])
             made[n], best, n = t, n, n + 1
+            if fixed[k] < need:
+                out[k] = best
+                continue
+            live[best] = fixed[k]
             if indexed:
                 for j, lo, hi in parts:
                     if raw[lo:hi].all():
                         index.setdefault((j, raw[lo:hi].tobytes()), []).append(best)
         else:
             changed = made[best] != t
-            if indexed and changed[cols].any():
-                # what becomes variable is in no equal segment any more
-                old = made[best][cols]
-                for j, lo, hi in parts:
-                    if changed[cols[lo:hi]].any() and old[lo:hi].all():
-                        index[j, old[lo:hi].tobytes()].remove(best)
+            if not every and changed.any():
+                live[best] -= int((made[best][changed] > 0).sum())
+                full = live[best] < need
+                if indexed:
+                    # what becomes variable is in no equal segment any more
+                    old = made[best][cols]
+                    for j, lo, hi in parts:
+                        if (full or changed[cols[lo:hi]].any()) and old[lo:hi].all():
+                            index[j, old[lo:hi].tobytes()].remove(best)
+                if full:
+                    del live[best]
             made[best][changed] = 0
         out[k] = best
     return out, made[:n]
@@ -248,9 +269,8 @@ def _candidates(batches, min_docs: int, similarity: float):
         start = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
         stop = np.append(start[1:], len(leaf))
         line = t.column("line").to_numpy().view(np.uint64)
-        for lo, hi in zip(start, stop):
-            if n_docs[lo:hi].sum() < min_docs:
-                continue
+        some = np.add.reduceat(n_docs, start) >= min_docs
+        for lo, hi in zip(start[some], stop[some]):
             p = t.slice(lo, hi - lo)
             got, of = _leaf(line[lo:hi], p.column("tokens").to_pylist(), n_docs[lo:hi], min_docs, similarity)
             if len(got):
@@ -288,12 +308,16 @@ def _thinned(of: np.ndarray, sign: np.ndarray, min_docs: int) -> np.ndarray:
     new = np.ones(len(of), bool)
     new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
     order, of = order[new], of[new]
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    stop = np.append(first[1:], len(of))
-    keep = np.zeros(len(of), bool)
-    keep[first] = True
-    for lo, hi in zip(first[stop - first > 1], stop[stop - first > 1]):
-        keep[lo + np.array(_apart(sign[order[lo:hi]], min_docs))] = True
+    # all templates at once: the first document left of each stays, and its copies go
+    left, keep = np.arange(len(of)), np.zeros(len(of), bool)
+    for _ in range(min_docs):
+        if len(left) == 0:
+            break
+        first = np.concatenate([[True], of[left[1:]] != of[left[:-1]]])
+        keep[left[first]] = True
+        own = left[first][np.cumsum(first) - 1]
+        own, left = own[~first], left[~first]
+        left = left[~_copies(sign, order[own], order[left])]
     return order[keep]
 
 
@@ -317,12 +341,22 @@ def _signed(batches, line: np.ndarray, template: np.ndarray, min_docs: int):
 
 
 def _combined(parts, min_docs: int):
-    """One batch of rows (template, sign) from a task's arrays."""
-    of, sign = np.zeros(0, np.int64), np.zeros((0, 2 * BINS), np.uint8)
-    for more, signs in parts:
-        of, sign = np.concatenate([of, more]), np.concatenate([sign, signs])
+    """One batch of rows (template, sign) from a task's arrays, which are thinned out whenever they have doubled: work in proportion to the rows."""
+    held, size, most = [(np.zeros(0, np.int64), np.zeros((0, 2 * BINS), np.uint8))], 0, 4 * STEP
+
+    def thinned() -> tuple[np.ndarray, np.ndarray]:
+        of, sign = (np.concatenate(x) for x in zip(*held))
         at = _thinned(of, sign, min_docs)
-        of, sign = of[at], sign[at]
+        return of[at], sign[at]
+
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= most:
+            held = [thinned()]
+            size = len(held[0][0])
+            most = max(4 * STEP, 2 * size)
+    of, sign = thinned()
     yield pa.RecordBatch.from_arrays([pa.array(of), _binary(sign)], names=["template", "sign"])
 
 
