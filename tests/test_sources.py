@@ -171,6 +171,14 @@ def test_text_helpers(spark):
         assert {r.id for r in R.select_slices(rows, ["g"], [F.asc("id")], text).collect()} == want
 
 
+def test_four_digits(spark):
+    """Ties, and numbers just beside one, are rounded as in C."""
+    values = [k / 16 for k in range(16000, 16100)] + [k * 1e-6 for k in range(123400, 123500)] + [k / 7 for k in range(7000, 7100)] + [0.5e-4, -1.0625, 9999.5, 99995.0, -0.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    got = {r.k: r.s for r in df.select("k", S.g4_text(F.col("v")).alias("s")).collect()}
+    assert [got[k] for k in range(len(values))] == ["%.4g" % v for v in values]
+
+
 def test_numbers(spark):
     table = [("2012-01-01", 100.0), ("2012-01-11", 200.0)]
     df = spark.createDataFrame([("2012-01-01",), ("2012-01-06",), ("2012-01-11",)], "d string").select(F.to_date("d").alias("d"))

@@ -142,17 +142,14 @@ def sparse_text(c: Column) -> Column:
     return F.concat_ws(" ", F.filter(rows, lambda x: x.isNotNull()))
 
 
+@pandas_udf(StringType())
+def _g4(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: "" if pd.isna(x) else f"{x:.4g}")
+
+
 def g4_text(c: Column) -> Column:
-    """Four significant digits as C has them for ``%.4g`` (but that ties round up); null as nothing."""
-    parts = F.split(F.format_string("%.3e", c), "e")
-    exp = parts[1].cast("int")
-    fixed = F.format_string("%.3f", c)
-    for e in range(-4, 4):
-        fixed = F.when(exp == e, F.format_string(f"%.{3 - e}f", c)).otherwise(fixed)
-    short = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    mantissa = F.regexp_replace(F.regexp_replace(parts[0], r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    out = F.when(exp.between(-4, 3), short).otherwise(F.concat(mantissa, F.lit("e"), parts[1]))
-    return F.when(c.isNull() | F.isnan(c), "").when(c == 0, "0").otherwise(out)
+    """Four significant digits as C has them for ``%.4g``; null and NaN as nothing. In Python, as Java rounds the shortest decimal of a number and C the number itself."""
+    return _g4(c.cast("double"))
 
 
 def without_common_prefix(names: list[str]) -> list[str]:
