@@ -1,12 +1,14 @@
 """Models, mixtures, locations and graphs against NumPy and plain Python."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wavelark.functions import numbers as N
 from wavelark.operators import models as M
 from wavelark.operators import series as R
 from wavelark.plans import catalog, modelling
@@ -206,6 +208,51 @@ def test_location_errors(spark):
     assert abs(got[1].cae / (11.1195 * np.sqrt(np.pi / 2)) - 1) < 0.1 and abs(got[1].area_km2 / (5.99 * np.pi * 11.1195**2) - 1) < 0.25
 
 
+def plain_area(polygons, steps):
+    """Spans of every polygon along every line, one by one."""
+    flat = [np.column_stack(N.mollweide(p[:, 0], p[:, 1])) for p in polygons]
+    lo, hi = min(p[:, 0].min() for p in flat), max(p[:, 0].max() for p in flat)
+    total = 0.0
+    for x in lo + (np.arange(steps) + 0.5) * (hi - lo) / steps:
+        spans, end = [], -np.inf
+        for p in flat:
+            y = [a[1] + (x - a[0]) / (b[0] - a[0]) * (b[1] - a[1]) for a, b in zip(p, np.roll(p, -1, axis=0)) if min(a[0], b[0]) <= x < max(a[0], b[0])]
+            if len(y) >= 2:
+                spans.append((min(y), max(y)))
+        for y0, y1 in sorted(spans):
+            total += max(0.0, y1 - max(y0, end))
+            end = max(end, y1)
+    return total * (hi - lo) / steps
+
+
+def test_location_errors_of_many(spark):
+    """Two thousand messages of the same thirty components, beside some of their own, take no estimate each; samples and areas are those of one at a time."""
+    rng = np.random.default_rng(5)
+    found = sorted((float(rng.normal() * 5), float(rng.normal() * 5), float(rng.random() + 0.1)) for _ in range(30))
+    cov = np.array([[0.5, 0.2], [0.2, 0.4]])
+    e = M.Estimate([(w, np.array([x, y]), cov) for x, y, w in found], samples=200)
+    again = np.random.default_rng(0)
+    pick = again.choice(30, 200, p=e.w)
+    one_by_one = np.stack([again.multivariate_normal(found[k][:2], cov) for k in pick])
+    assert np.allclose(np.sort(e.points, axis=0), np.sort(one_by_one, axis=0))
+    density = np.log(sum(w * np.exp(M.density(e.points, np.array(m), cov)) for w, m in zip(e.w, [f[:2] for f in found])))
+    assert np.allclose(e.score, density) and np.isclose(M.union_area(e.region, 200), plain_area(e.region, 200))
+    far = [np.array([[0.0, 0], [1, 0], [1, 1], [0, 1]]) + [k % 3 * 0.4, k // 3 * 3.0] for k in range(9)]
+    assert np.isclose(M.union_area(far, 300), plain_area(far, 300))
+    parts = spark.createDataFrame([(x, y, w, 0.5, 0.2, 0.4) for x, y, w in found], "lon double, lat double, weight double, cxx double, cxy double, cyy double")
+    own = spark.range(2000, 2010).select("id", (F.col("id") * 1.0).alias("weight"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), (F.col("id") - 1999.0).alias("cxx"), F.lit(0.0).alias("cxy"), F.lit(1.0).alias("cyy"))
+    located = spark.range(2000).crossJoin(parts).unionByName(own)
+    truth = spark.range(2010).select("id", (F.col("id") % 7 - 3.0).alias("true_lon"), (F.col("id") % 5 - 2.0).alias("true_lat"))
+    began = time.time()
+    got = {r.id: r for r in M.location_errors(located, truth, samples=200).collect()}
+    assert time.time() - began < 60 and len(got) == 2010
+    for k in (0, 3, 1999):
+        x, y = k % 7 - 3.0, k % 5 - 2.0
+        assert np.allclose(got[k][1:], [e.sae(x, y), e.cae(x, y), e.contour(x, y), e.covered(x, y), M.union_area(e.region, 200)])
+    alone = M.Estimate([(1.0, np.array([1.0, 2.0]), np.diag([10.0, 1.0]))], samples=200)
+    assert np.allclose(got[2009][1:4], [alone.sae(2009 % 7 - 3.0, 2.0), alone.cae(2009 % 7 - 3.0, 2.0), alone.contour(2009 % 7 - 3.0, 2.0)])
+
+
 def test_weights(spark):
     points = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.0, 0.001), ("a", 0.0, -0.001), ("b", 0.0, 5.0), ("b", 0.0, -5.0), ("b", 0.0, 0.0), ("c", 1.0, 1.0)], "token string, lon double, lat double")
     models = spark.createDataFrame([("a", 1.0, 0.0, 0.0), ("b", 1.0, 0.0, 0.0), ("c", 1.0, 1.0, 1.0)], "token string, weight double, lon double, lat double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -316,20 +318,21 @@ def union_area(polygons: list[np.ndarray], steps: int = 2000) -> float:
         return 0.0
     lo, hi = min(p[:, 0].min() for p in flat), max(p[:, 0].max() for p in flat)
     at = lo + (np.arange(steps) + 0.5) * (hi - lo) / steps
-    total = 0.0
-    for x in at:
-        spans = []
-        for p in flat:
-            a, b = p, np.roll(p, -1, axis=0)
-            cross = (np.minimum(a[:, 0], b[:, 0]) <= x) & (np.maximum(a[:, 0], b[:, 0]) > x)
-            if cross.sum() >= 2:
-                y = a[cross, 1] + (x - a[cross, 0]) / (b[cross, 0] - a[cross, 0]) * (b[cross, 1] - a[cross, 1])
-                spans.append((y.min(), y.max()))
-        end = -np.inf
-        for y0, y1 in sorted(spans):
-            total += max(0.0, y1 - max(y0, end))
-            end = max(end, y1)
-    return total * (hi - lo) / steps
+    low, high = np.full((len(flat), steps), np.inf), np.full((len(flat), steps), -np.inf)
+    for k, p in enumerate(flat):
+        a, b = p[:, None], np.roll(p, -1, axis=0)[:, None]
+        cross = (np.minimum(a[..., 0], b[..., 0]) <= at) & (np.maximum(a[..., 0], b[..., 0]) > at)
+        width = np.where(cross, b[..., 0] - a[..., 0], 1.0)
+        y = a[..., 1] + (at - a[..., 0]) / width * (b[..., 1] - a[..., 1])
+        two = cross.sum(0) >= 2
+        low[k, two] = np.where(cross, y, np.inf).min(0)[two]
+        high[k, two] = np.where(cross, y, -np.inf).max(0)[two]
+    order = np.argsort(low, axis=0, kind="stable")
+    low, high = np.take_along_axis(low, order, 0), np.take_along_axis(high, order, 0)
+    # a span adds what is above all that begin below it
+    end = np.vstack([np.full((1, steps), -np.inf), np.maximum.accumulate(high, axis=0)[:-1]])
+    some = high > -np.inf
+    return float(np.maximum(0.0, high[some] - np.maximum(low, end)[some]).sum()) * (hi - lo) / steps
 
 
 class Estimate:
@@ -339,19 +342,24 @@ class Estimate:
         rng = np.random.default_rng(seed)
         w = np.array([x for x, _, _ in found])
         self.found, self.coverage, w = found, coverage, w / w.sum()
+        self.w = w
+        self.means, cov = np.array([m for _, m, _ in found], float), np.array([c for _, _, c in found], float)
+        self.inv, self.base = np.linalg.inv(cov), np.log(w) - np.log(2 * np.pi) - 0.5 * np.log(np.linalg.det(cov))
         pick = rng.choice(len(found), samples, p=w)
-        p = np.stack([rng.multivariate_normal(found[k][1], found[k][2]) for k in pick])
-        lp = self._scores(p, w)
+        # each sample as multivariate_normal has it, from the same random numbers
+        _, s, v = np.linalg.svd(cov)
+        p = self.means[pick] + np.einsum("ni,nij->nj", rng.standard_normal((samples, 2)), (np.sqrt(s)[:, :, None] * v)[pick])
+        lp = self._scores(p)
         best = np.argsort(-self.total(lp), kind="stable")
         self.points, self.score, self.of = p[best], self.total(lp)[best], lp.argmax(1)[best]
-        self.w = w
         cut = int(round(coverage * samples))
         self.threshold = float(self.score[min(cut, samples - 1)])
         top = self.of[:cut]
         self.region = [hull(self.points[:cut][top == k]) for k in range(len(found)) if (top == k).sum() >= 3]
 
-    def _scores(self, p: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return np.stack([np.log(a) + density(p, m, c) for a, (_, m, c) in zip(w, self.found)], 1)
+    def _scores(self, p: np.ndarray) -> np.ndarray:
+        d = p[:, None] - self.means
+        return self.base - 0.5 * (d[..., 0] ** 2 * self.inv[:, 0, 0] + d[..., 0] * d[..., 1] * (self.inv[:, 0, 1] + self.inv[:, 1, 0]) + d[..., 1] ** 2 * self.inv[:, 1, 1])
 
     @staticmethod
     def total(lp: np.ndarray) -> np.ndarray:
@@ -359,7 +367,7 @@ class Estimate:
         return top[:, 0] + np.log(np.exp(lp - top).sum(1))
 
     def at(self, lon: float, lat: float) -> float:
-        return float(self.total(self._scores(np.array([[lon, lat]]), self.w))[0])
+        return float(self.total(self._scores(np.array([[lon, lat]])))[0])
 
     def best_mean(self) -> np.ndarray:
         """The weighted mean of the means."""
@@ -390,17 +398,37 @@ class Estimate:
         return float(np.mean([inside(polygon, *p) for p in self.points]))
 
 
+#: Mixtures whose estimates a task keeps.
+KEPT = 256
+
+
 def location_errors(located: DataFrame, truth: DataFrame, coverage: float = 0.95, samples: int = 1000) -> DataFrame:
-    """Rows (id, sae, cae, contour, covered, area_km2) for messages' components (id, weight, lon, lat, cxx, cxy, cyy) and true points (id, true_lon, true_lat)."""
+    """Rows (id, sae, cae, contour, covered, area_km2) for messages' components (id, weight, lon, lat, cxx, cxy, cyy) and true points (id, true_lon, true_lat).
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["lon", "lat", "weight"])
-        found = [(r.weight, np.array([r.lon, r.lat]), np.array([[r.cxx, r.cxy], [r.cxy, r.cyy]])) for r in df.itertuples()]
-        e, x, y = Estimate(found, coverage, samples), df.true_lon.iloc[0], df.true_lat.iloc[0]
-        return pd.DataFrame([(df.id.iloc[0], e.sae(x, y), e.cae(x, y), e.contour(x, y), e.covered(x, y), union_area(e.region, 200))], columns=["id", "sae", "cae", "contour", "covered", "area_km2"])
+    Messages of the same components (those of the same tokens) share an estimate; only their true points differ.
+    """
+
+    def errors(batches):
+        known: OrderedDict = OrderedDict()
+        for df in batches:
+            rows = []
+            for r in df.itertuples():
+                key = r.found.tobytes()
+                if key not in known:
+                    e = Estimate([(c[2], c[:2], c[[3, 4, 4, 5]].reshape(2, 2)) for c in r.found.reshape(-1, 6)], coverage, samples)
+                    known[key] = e, union_area(e.region, 200)
+                    if len(known) > KEPT:
+                        known.popitem(last=False)
+                known.move_to_end(key)
+                (e, area), x, y = known[key], r.true_lon, r.true_lat
+                rows.append((r.id, e.sae(x, y), e.cae(x, y), e.contour(x, y), e.covered(x, y), area))
+            yield pd.DataFrame(rows, columns=["id", "sae", "cae", "contour", "covered", "area_km2"])
 
     kind = located.schema["id"].dataType.simpleString()
-    return located.join(truth, "id").groupBy("id").applyInPandas(one, f"id {kind}, sae double, cae double, contour double, covered boolean, area_km2 double")
+    parts = ["lon", "lat", "weight", "cxx", "cxy", "cyy"]
+    found = F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in parts])))
+    rows = located.join(truth, "id").groupBy("id").agg(F.flatten(F.transform(found, lambda c: F.array(*[c[k] for k in parts]))).alias("found"), F.first("true_lon").alias("true_lon"), F.first("true_lat").alias("true_lat"))
+    return rows.mapInPandas(errors, f"id {kind}, sae double, cae double, contour double, covered boolean, area_km2 double")
 
 
 def token_weights(points: DataFrame, models: DataFrame, exponent: float = 4.0, least: int = 3) -> DataFrame:
