@@ -299,6 +299,22 @@ def test_locators(spark):
     assert both[2] == 50 and np.isclose(both[3], np.mean([0, 0.1, 0, 9, 0.05, 50]))
 
 
+def test_pooled_means(spark):
+    """As of the pooled points themselves, with repeated tokens, tokens without points and unknown coordinates; and 20,000 messages of a token with 40,000 points."""
+    points = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, None), ("b", 5.0, 7.0), ("b", 6.0, 7.5), ("c", None, 1.0), (None, 1.0, 1.0)], "token string, lon double, lat double")
+    m = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, "none"), (4, "c"), (5, None)], "id long, token string")
+    rows = M.pooled_points(m, points).groupBy("id").agg(F.count("*").alias("n"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    assert sorted(map(tuple, M.pooled_means(m, points).collect())) == sorted(map(tuple, rows.collect()))
+
+    class Many:
+        conversations = spark.range(20000).select(F.col("id").alias("conv_id"), F.lit(3).alias("turn"))
+        embeddings = spark.range(40000).select(F.lit(3).alias("label"), F.array(*[(F.col("id") / 40000).cast("float")] * 2).alias("embedding"))
+
+    began = time.time()
+    got = modelling.pooled_points(Many).agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("lon").alias("lon")).first()
+    assert (got.k, got.lo, got.hi) == (20000, 40000, 40000) and abs(got.lon - 5) < 1e-3 and time.time() - began < 60
+
+
 def brute_distance(parents, a, b, most=8):
     if not parents.get(a) or not parents.get(b):
         return most

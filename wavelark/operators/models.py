@@ -490,6 +490,13 @@ def pooled_points(messages: DataFrame, points: DataFrame) -> DataFrame:
     return messages.distinct().join(points, "token").select("id", "lon", "lat")
 
 
+def pooled_means(messages: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows (id, n, lon, lat): number and means of each message's pooled points, from sums by token, so that no point is ever joined with a message."""
+    sums = points.groupBy("token").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("lon", "lat") for k, f in (("n", F.count), ("s", F.sum))])
+    mean = {c: F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}")).alias(c) for c in ("lon", "lat")}
+    return messages.distinct().join(sums, "token").groupBy("id").agg(F.sum("n").alias("n"), mean["lon"], mean["lat"])
+
+
 def locate_kde(messages: DataFrame, points: DataFrame) -> DataFrame:
     """Rows (id, lon, lat, n): of each message's pooled points that where a normal kernel density of them is highest (bandwidth by Scott's rule). Leave out frequent tokens before."""
 
