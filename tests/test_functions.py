@@ -80,6 +80,32 @@ def test_intervals_and_interpolation(spark):
     assert [r.v for r in R.interpolate(df, ["k"], "d", "v").orderBy("d").collect()] == [0, 1, 2, 3, 0]
 
 
+def test_densify(spark):
+    """Against a join with the whole axis: repeated, null and uneven times, null keys, keys without times, values of null, one and two steps, hours and days."""
+    rows = [("a", 1, 3, 1.0), ("a", 1, 3, 2.0), ("a", 1, 5, 3.0), ("a", 2, 9, None), ("b", 1, 4, 4.0), ("b", 1, None, 5.0), ("c", 1, None, 6.0), ("d", None, 4, 7.0), ("d", None, 7, 8.0), (None, 1, 12, 9.0), ("e", 1, 12, 1.5), ("f", 1, 3, 2.5), ("f", 1, 12, 3.5)]
+    base = spark.createDataFrame(rows, "k string, m int, t int, v double")
+    day, hour = F.date_add(F.lit("2024-02-25").cast("date"), F.col("t")), F.timestamp_seconds(F.col("t") * 3600 + 1709000000 // 3600 * 3600)
+    for time, step in ((day, "1 DAY"), (day, "2 DAYS"), (day, "1 WEEK"), (day, "1 MONTH"), (hour, "1 HOUR"), (hour, "3 HOURS"), (hour, "90 MINUTES"), (hour, "1 DAY")):
+        df = base.select("k", "m", time.alias("t"), "v")
+        for per_key in (True, False):
+            span = [F.min("t").alias("lo"), F.max("t").alias("hi")]
+            axis = df.groupBy("k", "m").agg(*span) if per_key else df.select("k", "m").distinct().crossJoin(df.agg(*span))
+            want = axis.select("k", "m", F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step}"))).alias("t")).join(df, ["k", "m", "t"], "left").withColumn("v", F.coalesce("v", F.lit(-1.0)))
+            got = R.densify(df, ["k", "m"], "t", step, {"v": -1.0}, per_key)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (step, per_key)
+    assert R.densify(base.where("k = 'none'").select("k", day.alias("t"), "v"), ["k"], "t", "1 DAY", {"v": 0.0}, False).isEmpty()
+
+
+def test_densify_moves_few_rows(spark):
+    """No exchange is above the rows that densify makes, nor under the totals' join."""
+    from wavelark.plans import search
+    from wavelark.plans.registry import Tables
+
+    plan = search.article_access(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("explode(")].splitlines()
+    assert not any(" Exchange " in line or "SortMergeJoin" in line for line in above)
+
+
 def test_regression():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 3))

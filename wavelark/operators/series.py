@@ -55,12 +55,45 @@ def drop_latest_only(frags: DataFrame) -> DataFrame:
     return rows.where(~((F.col("n") == 1) & (F.col("fragment") == F.col("latest")))).drop("n", "latest")
 
 
+def _steps(df: DataFrame, time: str, step: str) -> Column | None:
+    """How many steps a time is after ``_lo``; None where steps aren't all of one length (months, and days of time stamps)."""
+    n, unit = step.split() if len(step.split()) == 2 else ("", "")
+    kind, unit = df.schema[time].dataType.simpleString(), unit.upper().rstrip("S")
+    if n.isdecimal() and int(n) and kind == "date" and unit in ("DAY", "WEEK"):
+        return F.datediff(time, "_lo") / (int(n) * (7 if unit == "WEEK" else 1))
+    if n.isdecimal() and int(n) and kind == "timestamp" and unit in ("HOUR", "MINUTE", "SECOND"):
+        return (F.unix_micros(time) - F.unix_micros("_lo")) / (int(n) * {"HOUR": 3600, "MINUTE": 60, "SECOND": 1}[unit] * 1000000)
+    return None
+
+
 def densify(df: DataFrame, keys: list[str], time: str, step: str, fill: dict[str, object], per_key: bool = True) -> DataFrame:
-    """A row for every step between the first and last time, of each key or of all; absent values take ``fill``."""
+    """A row for every step between the first and last time, of each key or of all; absent values take ``fill``.
+
+    Only the rows that there are move: each makes, once its key's rows are together, the steps up to the next one. (Steps whose length varies, as months, are joined.)
+    """
     span = [F.min(time).alias("_lo"), F.max(time).alias("_hi")]
-    axis = df.groupBy(*keys).agg(*span) if per_key else df.select(*keys).distinct().crossJoin(F.broadcast(df.agg(*span)))
-    axis = axis.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias(time))
-    out = axis.join(df, [*keys, time], "left")
+    axis = F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))
+    place = _steps(df, time, step)
+    if place is None:
+        axes = df.groupBy(*keys).agg(*span) if per_key else df.select(*keys).distinct().crossJoin(F.broadcast(df.agg(*span)))
+        out = axes.select(*keys, F.explode(axis).alias(time)).join(df, [*keys, time], "left")
+    else:
+        w = Window.partitionBy(*keys)
+        rows = df.withColumns({"_lo": F.min(time).over(w), "_hi": F.max(time).over(w)}) if per_key else df.crossJoin(F.broadcast(df.agg(*span)))
+        # rows that are on no step, or of a null key, stand for no value but still for their key
+        on = F.col(time).isNotNull() & (place % 1 == 0)
+        for k in keys:
+            on = on & F.col(k).isNotNull()
+        order = w.orderBy(F.desc("_on"), time)
+        rows = rows.withColumn("_on", F.coalesce(on, F.lit(False)))
+        rows = rows.withColumns({"_i": F.row_number().over(order), "_next": F.lead(F.when(F.col("_on"), F.col(time))).over(order)}).where("_on or _i = 1")
+        one = F.expr(f"INTERVAL {step}")
+        first = F.when(F.col("_i") == 1, F.col("_lo")).otherwise(F.col(time))
+        last = F.when(F.col("_on") & F.col("_next").isNotNull(), F.greatest(F.col(time), (F.col("_next") - one).cast(df.schema[time].dataType))).otherwise(F.col("_hi"))
+        others = [c for c in df.columns if c not in keys and c != time]
+        rows = rows.select(*keys, F.explode(F.sequence(first, last, one)).alias("_t"), F.col("_on"), F.col(time).alias("_own"), *others)
+        here = F.col("_on") & (F.col("_t") == F.col("_own"))
+        out = rows.select(*keys, F.col("_t").alias(time), *[F.when(here, F.col(c)).alias(c) for c in others])
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items() if v is not None})
 
 

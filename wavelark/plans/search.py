@@ -144,7 +144,8 @@ def article_access(t):
     """Every series at every hour, 0 where it has none, beside its project's total."""
     s = t.series()
     dense = R.densify(s, ["project", "article"], "hour", "1 HOUR", {"v": 0.0}, per_key=False)
-    return dense.join(R.totals(s), ["project", "hour"], "left").select("project", "article", "hour", "v", F.coalesce("total", F.lit(0.0)).alias("total"))
+    # one row for each hour of a project, so that the dense rows stay where they are
+    return dense.join(F.broadcast(R.totals(s)), ["project", "hour"], "left").select("project", "article", "hour", "v", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 @query(f"""SELECT n.name, a.day FROM (SELECT DISTINCT name FROM ({SERIES_DAY})) n CROSS JOIN (SELECT DISTINCT day FROM ({SERIES_DAY})) a
