@@ -103,10 +103,18 @@ Ol_Chiki Glagolitic Coptic Tifinagh Bopomofo Yi Lisu Vai Bamum Syloti_Nagri Phag
 Mandaic Gothic Old_Italic Deseret Shavian Osmanya Cypriot Linear_B""".split()
 
 
+def runs_script(c: Column) -> Column:
+    """Runs of letters of one script as they stand; scripts written without spaces (Thai, Lao, Khmer, Myanmar), and common signs, are left out.
+
+    Each run is one class of characters, common letters first, and what is no letter is passed over before any script is tried.
+    """
+    pattern = "|".join(rf"[{'a-zA-Z' if s == 'Latin' else ''}[\p{{Is{s}}}&&\p{{L}}]]++" for s in _SCRIPTS)
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"((?=\p{{L}})(?:{pattern}))"), F.lit(1))
+
+
 def tokens_script(c: Column) -> Column:
-    """Runs of letters of one script in lower case; scripts written without spaces (Thai, Lao, Khmer, Myanmar), and common signs, are left out."""
-    pattern = "|".join(rf"(?:(?=\p{{Is{s}}})\p{{L}})+" for s in _SCRIPTS)
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({pattern})"), F.lit(1)), F.lower)
+    """Runs of letters of one script in lower case (see ``runs_script``)."""
+    return F.transform(runs_script(c), F.lower)
 
 
 def script_of(c: Column) -> Column:
